@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from parqsieve.llm.common import pick, read_table, slices
 
 SAMPLE = 5000
-LEAN = 3.0
+LEAN = 7.0
 PREFIXES = (4, 5, 6)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 CACHE = 200_000
@@ -64,7 +64,7 @@ class Ordinal:
         return [1 / (1 + math.exp(min(700.0, max(-700.0, t - score)))) for t in self.thresholds]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 400, l1: float = 2e-4, rate: float = 0.05) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 400, l1: float = 1e-4, rate: float = 0.05) -> Ordinal:
     """rows: the feature numbers of each document, with repeats."""
     grades = np.asarray(grades)
     toxic = grades > 0
