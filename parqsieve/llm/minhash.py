@@ -221,5 +221,15 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one document of each group; rows with a null doc_id stay."""
+    names = docs.columns
+    inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    doc_id = f"_c{names.index('doc_id')}"
+    keep = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id))
+    one = inner.join(keep, doc_id, "left_semi").dropDuplicates([doc_id])
+    return one.unionByName(inner.where(F.col(doc_id).isNull())).select(*inner.columns).toDF(*names)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
