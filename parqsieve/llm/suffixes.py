@@ -54,7 +54,7 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(data: bytes, ends: np.ndarray, length: int = LENGTH, marker: int = MARKER) -> tuple[np.ndarray, ...]:
-    """marker, segment hash, first string, number of strings, whether the marker occurs in it more than once, of the segments of documents that end at ends."""
+    """marker (mixed once more, as least hashes crowd at the low end), segment hash, first string, number of strings, whether the marker occurs in it more than once, of the segments of documents that end at ends."""
     raw = np.frombuffer(data, np.uint8)
     up, down = powers()
     out = []
@@ -81,7 +81,7 @@ def segments(data: bytes, ends: np.ndarray, length: int = LENGTH, marker: int =
         base = np.concatenate(([0], np.cumsum(reach)))
         spots = np.arange(base[-1]) + np.repeat(first - base[:-1], reach)
         again = np.add.reduceat(each[spots] == np.repeat(least[first], reach), base[:-1], dtype=np.int64) > 1 if len(first) else np.empty(0, bool)
-        out.append((least[first], mixed(whole + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first + a, count, again.astype(np.int64)))
+        out.append((mixed(least[first]), mixed(whole + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first + a, count, again.astype(np.int64)))
     kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.empty(0, k) for k in kinds)
 
