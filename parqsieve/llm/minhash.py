@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     sizes = families.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = families.join(sizes, "component").select("component", F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    read = docs.join(dealt, "doc_id").select("component", "i", "j", "doc_id", "own", "text")
+    # by shuffle at every size: members grow with the corpus, so the plan mustn't turn on whether they happen to be few
+    read = docs.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "i", "j", "doc_id", "own", "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
