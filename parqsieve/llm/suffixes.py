@@ -34,6 +34,7 @@ LENGTH = 200
 MARKER = 64
 CHUNK = 1 << 21
 PLACE_BYTES = 12 << 20
+MERGE_BYTES = 4 << 20
 _random = np.random.default_rng(20240602)
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = int(_random.integers(1 << 61, 1 << 62)) * 2 + 1
@@ -247,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     sent = docs.join(compare, ["key", "id"]).select("key", "id", "text", "asked").mapInArrow(send, "marker long, key long, id long, begin long, n long, code int, shard binary")
-    places = max(shuffle_partitions(spark), asked.where(f"code <> {WHOLE}").count() * 3 * length // (2 * PLACE_BYTES))
+    places = max(shuffle_partitions(spark), asked.where(f"code <> {WHOLE}").count() * 3 * length // (2 * MERGE_BYTES))
     sent = sent.withColumn("place", F.pmod(F.xxhash64("marker"), F.lit(places)).cast("int"))
 
     def merge(table: pa.Table) -> pa.Table:
