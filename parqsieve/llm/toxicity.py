@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parqsieve.llm.common import pick, read_table, slices
+from parqsieve.llm.common import pick, read_table, slices, written
 
 SAMPLE = 5000
 LEAN = 7.0
@@ -137,18 +137,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(word_ids, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))], names=["doc_id", "grade", "words", "prefixes"])
 
     # broadcast: at most twice the sample of (id, grade)
-    rows = F.broadcast(chosen).join(docs, "doc_id").select("doc_id", "grade", "text").mapInArrow(featurise, "doc_id long, grade int, words array<long>, prefixes array<long>").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")])
-    arrays = lambda name: [np.asarray(x.values) for x in rows.column(name)] if rows.num_rows else []
-    words, prefixes, grades = arrays("words"), arrays("prefixes"), np.maximum(np.asarray(rows.column("grade").to_numpy(), np.int64), 0)
-    if column == "toxic" and (grades > 0).any():
-        names, at = np.unique(np.concatenate([*words, np.empty(0, np.int64)]), return_inverse=True)
-        flag = np.repeat(grades > 0, [len(x) for x in words])
-        inside, outside = np.bincount(at[flag], minlength=len(names)), np.bincount(at[~flag], minlength=len(names))
-        marks = names[(inside >= 3) & (inside / max(1, (grades > 0).sum()) >= 50 * outside / max(1, (grades == 0).sum()))]
-        n = np.array([np.isin(x, marks).sum() for x in words])
+    spark = docs.sparkSession
+    rows = written(F.broadcast(chosen).join(docs, "doc_id").select("doc_id", "grade", "text").mapInArrow(featurise, "doc_id long, grade int, words array<long>, prefixes array<long>"), "labelled")
+    n1, n0 = rows.where("grade > 0").count(), rows.where("grade <= 0").count()
+    if not n1 or not n0:
+        return Ordinal({}, [])
+    toxic = (F.col("grade") > 0).cast("int")
+    one = lambda name: rows.select(toxic.alias("toxic"), F.lit(name).alias("kind"), F.explode(F.array_distinct(name)).alias("feature"))
+    counts = one("words").unionByName(one("prefixes")).groupBy("kind", "feature").agg(F.sum("toxic").alias("inside"), F.sum(1 - F.col("toxic")).alias("outside"))
+    share = (F.col("inside") + F.col("outside")) / (n1 + n0)
+    leans = F.abs(F.col("inside") / n1 - F.col("outside") / n0) >= LEAN * F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    marks = (F.col("kind") == "words") & (F.col("inside") >= 3) & (F.col("inside") / n1 >= 50 * F.col("outside") / n0)
+    chosen_features = counts.where(leans | marks).select("feature", leans.alias("leans"), marks.alias("marks")).collect()  # of the sample, so bounded with it
+    held = spark.sparkContext.broadcast(({r.feature for r in chosen_features if r.leans}, {r.feature for r in chosen_features if r.marks}))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, mark = held.value
+        for part in slices(batches):
+            words, prefixes = part.column(2).to_pylist(), part.column(3).to_pylist()
+            kept = [[f for f in (*w, *p) if f in use] for w, p in zip(words, prefixes, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sum(f in mark for f in w) for w in words], pa.int32()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "grade", "marks", "features"])
+
+    small = rows.mapInArrow(reduce, "doc_id long, grade int, marks int, features array<long>").toArrow().sort_by([("doc_id", "ascending")])
+    grades = np.maximum(small.column("grade").to_numpy().astype(np.int64), 0)
+    if column == "toxic":
+        n = small.column("marks").to_numpy()
         grades = np.where(grades > 0, 1 + (n >= 3) + (n >= 5), 0)
-    return fit([np.concatenate(x) for x in zip(words, prefixes, strict=True)], grades)
+    return fit([np.asarray(x.values) for x in small.column("features")], grades)
 
 
 def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
