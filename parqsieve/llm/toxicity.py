@@ -104,6 +104,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 400, l1: float
         grad = np.concatenate([np.bincount(column, weights=ds[doc] * value, minlength=d), dgaps]) / n
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        if t > rounds // 2:  # the support is found; its weights go on without the penalty
+            w, gaps = np.where(w == 0, 0, w - move[:d]), gaps - move[d:]
+            continue
         w, gaps = w - move[:d], gaps - move[d:]
         shrink = rate * l1 / (np.sqrt(v[:d] / (1 - 0.99**t)) + 1e-8)
         w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)
