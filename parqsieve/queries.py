@@ -1,17 +1,212 @@
-"""The registered queries of the engine and their DuckDB SQL."""
+"""The registered queries of the engine and their DuckDB SQL.
+
+``filter_*`` are exact row filters, ``rg_*`` decisions on zones of a key, ``page_*`` on pages within zones, ``dict_*``
+with dictionary evidence, ``pruned_scan`` a scan of kept zones with the exact filter.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parqsieve.operators import ir
+from parqsieve.operators.ir import Hint, Op, Predicate
+from parqsieve.operators.rows import row_filter
+from parqsieve.plans.zonemap import decide, page_rows, pruned_scan
+
+FLAGSHIP = "pruned_scan"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+ZONE, PAGE = 1000, 250
+#: Tables of the test data hold no nulls, so some are derived.
+NULLABLE = "CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 3000 < 250 THEN NULL ELSE o_totalprice END"
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("p", F.expr(NULLABLE))
+
+
+def sql_value(v: object) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bytes):
+        return "'" + v.decode() + "'::BLOB"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP '{v.isoformat(sep=' ')}'"
+    if isinstance(v, dt.date):
+        return f"DATE '{v.isoformat()}'"
+    return str(v)
+
+
+def _filter(name: str, table: str, columns: str, predicate: Predicate, where: str, source: str = "*") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*source.split(", ", 1), *([f"{NULLABLE} AS p"] if table == "orders" else []))
+        return df.where(row_filter(predicate, df.schema)).selectExpr(*columns.split(", "))
+
+    QUERIES[name] = run
+    inner = f"SELECT {source}{f', {NULLABLE} AS p' if table == 'orders' else ''} FROM {table}"
+    ORACLE_SQL[name] = f"SELECT {columns} FROM ({inner}) AS t WHERE {where}"
+
+
+O = "o_orderkey, o_totalprice"
+for _name, _p, _w in (
+    ("filter_eq", ir.eq("o_orderkey", 3500), "o_orderkey = 3500"),
+    ("filter_ne", ir.ne("o_orderstatus", "F"), "o_orderstatus <> 'F'"),
+    ("filter_lt", ir.lt("p", 5000.0), "p < 5000"),
+    ("filter_le", ir.le("o_orderkey", 99), "o_orderkey <= 99"),
+    ("filter_gt", ir.gt("p", 400000.0), "p > 400000"),
+    ("filter_ge", ir.ge("o_totalprice", 400000.0), "o_totalprice >= 400000"),
+    ("filter_between_incl", ir.between("o_orderkey", 100, 200), "o_orderkey BETWEEN 100 AND 200"),
+    ("filter_between_excl", ir.between("o_orderkey", 100, 200, False), "o_orderkey > 100 AND o_orderkey < 200"),
+    ("filter_in", ir.in_list("o_orderkey", [5, 50, 500, 99999999]), "o_orderkey IN (5, 50, 500, 99999999)"),
+    ("filter_in_empty", ir.in_list("o_orderkey", []), "false"),
+    ("filter_prefix", ir.starts_with("o_orderpriority", "1-"), "o_orderpriority LIKE '1-%'"),
+    ("filter_is_null", ir.is_null("p"), "p IS NULL"),
+    ("filter_is_not_null", ir.is_not_null("p"), "p IS NOT NULL"),
+    ("filter_and", ir.all_of(ir.gt("p", 300000.0), ir.eq("o_orderstatus", "O")), "p > 300000 AND o_orderstatus = 'O'"),
+    ("filter_or", ir.any_of(ir.gt("p", 450000.0), ir.lt("o_orderkey", 10)), "p > 450000 OR o_orderkey < 10"),
+    ("filter_not", ir.negate(ir.any_of(ir.gt("p", 1500.0), ir.is_null("p"))), "NOT (p > 1500 OR p IS NULL)"),
+    ("filter_true", ir.TRUE, "true"),
+    ("filter_false", ir.FALSE, "false"),
+    ("filter_date", ir.ge("o_orderdate", dt.date(2001, 7, 1)), "o_orderdate >= DATE '2001-07-01'"),
+    ("filter_timestamp", ir.lt("o_orderdate", dt.datetime(1995, 2, 1)), "o_orderdate < TIMESTAMP '1995-02-01'"),
+):
+    _filter(_name, "orders", O, _p, _w)
+_filter("filter_decimal", "lineitem", "l_orderkey, l_linenumber", ir.gt("d", decimal.Decimal("90000.50")), "d > 90000.50", "*, CAST(l_extendedprice AS DECIMAL(12,2)) AS d")
+_filter("filter_list_exists", "embeddings", "vec_id", ir.gt("embedding.list.element", 0.3), "len(list_filter(embedding, lambda x: x > 0.3::FLOAT)) > 0")
+_filter("projection_required", "customer", "c_custkey", ir.lt("c_acctbal", 0.0), "c_acctbal < 0")
+
+
+def tri_sql(p: Predicate, mark: str = "") -> str:
+    """The three-valued decision in SQL, over low_c, high_c, nulls_c, n (with a mark for pages)."""
+    many = lambda word, terms, empty: "(" + f" {word} ".join(tri_sql(t, mark) for t in terms) + ")" if terms else empty
+    match p:
+        case ir.Const(value):
+            return str(value).upper()
+        case ir.And(terms):
+            return many("AND", terms, "TRUE")
+        case ir.Or(terms):
+            return many("OR", terms, "FALSE")
+        case ir.Not(term):
+            return f"(NOT {tri_sql(term, mark)})"
+        case ir.Between():
+            return many("AND", p.sides(), "")
+        case ir.In(c, values):
+            return many("OR", [ir.eq(c, v) for v in values], f"(CASE WHEN low_{c} IS NOT NULL THEN FALSE END)")
+        case ir.Prefix(c, prefix):
+            return many("AND", [ir.ge(c, prefix), ir.lt(c, prefix[:-1] + chr(ord(prefix[-1]) + 1))], "")
+        case ir.IsNull(c, negated):
+            return ("(NOT " if negated else "(") + f"CASE WHEN nulls_{c} = 0 THEN FALSE WHEN nulls_{c} = n THEN TRUE END)"
+        case Hint(_, c, values):
+            return f"(CASE WHEN len(values_{c}) > 0 AND NOT list_has_any(values_{c}, [{', '.join(map(sql_value, values))}]) THEN FALSE END)"
+    c, v = p.column, sql_value(p.value)
+    low, high, none = f"low_{c}", f"high_{c}", f"nulls_{c} = 0"
+    never, always = {
+        Op.EQ: (f"{low} > {v} OR {high} < {v}", f"{low} = {high} AND {low} = {v}"),
+        Op.NE: (f"{low} = {high} AND {low} = {v}", f"({low} > {v} OR {high} < {v})"),
+        Op.LT: (f"{low} >= {v}", f"{high} < {v}"),
+        Op.LE: (f"{low} > {v}", f"{high} <= {v}"),
+        Op.GT: (f"{high} <= {v}", f"{low} > {v}"),
+        Op.GE: (f"{high} < {v}", f"{low} >= {v}"),
+    }[p.op]
+    return f"(CASE WHEN {low} IS NULL OR {high} IS NULL THEN NULL WHEN {never} THEN FALSE WHEN {always} AND {none} THEN TRUE END)"
+
+
+def stats_sql(columns: list[str], dictionaries: tuple[str, ...] = ()) -> str:
+    return "".join(f", min({c}) AS low_{c}, max({c}) AS high_{c}, count(*) FILTER (WHERE {c} IS NULL) AS nulls_{c}" + (f", list(DISTINCT {c}) FILTER (WHERE {c} IS NOT NULL) AS values_{c}" if c in dictionaries else "") for c in columns)
+
+
+def _zones(name: str, predicate: Predicate, dictionaries: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> None:
+    QUERIES[name] = lambda spark, sf_dir: decide(orders(spark, sf_dir), "o_orderkey", ZONE, predicate, dictionaries, without)
+    tri = "CAST(NULL AS BOOLEAN)" if without else tri_sql(predicate)
+    columns = [] if without else predicate.columns()
+    ORACLE_SQL[name] = f"WITH z AS (SELECT CAST(floor(o_orderkey / {ZONE}) AS BIGINT) AS zone, count(*) AS n{stats_sql(columns, dictionaries)} FROM (SELECT *, {NULLABLE} AS p FROM orders) AS t GROUP BY 1) SELECT zone, {tri} AS tri, coalesce({tri}, TRUE) AS keep FROM z"
+
+
+for _name, _p in (
+    ("rg_eq", ir.eq("o_orderkey", 3500)),
+    ("rg_ne", ir.ne("o_orderstatus", "O")),
+    ("rg_lt", ir.lt("o_orderkey", 3500)),
+    ("rg_le", ir.le("o_orderkey", 2999)),
+    ("rg_gt", ir.gt("p", 499000.0)),
+    ("rg_ge", ir.ge("o_orderkey", 3000)),
+    ("rg_between", ir.between("o_orderkey", 2500, 4500)),
+    ("rg_between_excl", ir.between("o_orderkey", 1999, 3000, False)),
+    ("rg_in", ir.in_list("o_orderkey", [5, 7777])),
+    ("rg_in_empty", ir.in_list("o_orderkey", [])),
+    ("rg_prefix", ir.starts_with("o_orderpriority", "9-")),
+    ("rg_is_null", ir.is_null("p")),
+    ("rg_is_not_null", ir.is_not_null("o_totalprice")),
+    ("rg_and", ir.all_of(ir.gt("p", 499000.0), ir.lt("o_orderkey", 5000))),
+    ("rg_or", ir.any_of(ir.lt("o_orderkey", 1000), ir.ge("o_orderkey", 9000))),
+    ("rg_not", ir.negate(ir.lt("o_orderkey", 3500))),
+    ("rg_timestamp", ir.gt("o_orderdate", dt.datetime(2001, 7, 31))),
+    ("rg_true", ir.all_of()),
+    ("rg_false", ir.any_of()),
+):
+    _zones(_name, _p)
+_zones("rg_missing_stats", ir.eq("o_orderkey", 3500), without=("o_orderkey",))
+_zones("dict_eq", ir.all_of(ir.eq("o_orderpriority", "3-NONE"), Hint("dictionary", "o_orderpriority", ("3-NONE",))), ("o_orderpriority",))
+_zones("dict_in", ir.all_of(ir.in_list("o_orderpriority", ["2-A", "4-B"]), Hint("dictionary", "o_orderpriority", ("2-A", "4-B"))), ("o_orderpriority",))
+
+
+def page_sql(p: Predicate, leaves: list[str]) -> tuple[str, str, str]:
+    """(flag, exact, supported) in SQL by page; leaves gathers the leaf decisions t0, t1, ..."""
+    match p:
+        case ir.And(terms):
+            parts = [page_sql(t, leaves) for t in terms]
+            return " AND ".join(f"(NOT ({s}) OR ({f}))" for f, _, s in parts), " AND ".join(f"(({e}) AND ({s}))" for _, e, s in parts), " OR ".join(f"({s})" for *_, s in parts)
+        case ir.Or(terms):
+            parts = [page_sql(t, leaves) for t in terms]
+            return " OR ".join(f"({f})" for f, *_ in parts), " AND ".join(f"({e})" for _, e, _ in parts), " AND ".join(f"({s})" for *_, s in parts)
+        case ir.Not(term):
+            f, e, s = page_sql(term, leaves)
+            return f"NOT ({f})", e, f"({s}) AND ({e})"
+        case ir.Const():
+            return "TRUE", "FALSE", "FALSE"
+    leaves.append(tri_sql(p))
+    k = len(leaves) - 1
+    return f"coalesce(t{k}, TRUE)", f"e{k}", "TRUE"
+
+
+def _pages(name: str, *predicates: Predicate) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = page_rows(orders(spark, sf_dir), "o_orderkey", ZONE, PAGE, list(predicates))
+        return made.select("zone", "exact", "supported", F.explode(F.arrays_zip("starts", "flags")).alias("x")).select("zone", F.col("x.starts").alias("first_row"), F.col("x.flags").alias("selected"), "exact", "supported")
+
+    QUERIES[name] = run
+    leaves: list[str] = []
+    both = ir.And(tuple(predicates))
+    flag, exact, supported = page_sql(both, leaves)
+    ORACLE_SQL[name] = f"""WITH g AS (SELECT CAST(floor(o_orderkey / {ZONE}) AS BIGINT) AS zone, CAST(floor(o_orderkey % {ZONE} / {PAGE}) * {PAGE} AS BIGINT) AS first_row, count(*) AS n{stats_sql(both.columns())} FROM (SELECT *, {NULLABLE} AS p FROM orders) AS t GROUP BY 1, 2),
+t AS (SELECT zone, first_row, {', '.join(f'{x} AS t{k}' for k, x in enumerate(leaves))} FROM g),
+e AS (SELECT *, {', '.join(f'bool_and(t{k} IS NOT NULL) OVER (PARTITION BY zone) AS e{k}' for k in range(len(leaves)))} FROM t)
+SELECT zone, first_row, {flag} AS selected, {exact} AS exact, {supported} AS supported FROM e"""
+
 
-FLAGSHIP = "filter_gt"
+for _name, _ps in (
+    ("page_cmp", [ir.gt("o_orderkey", 3499)]),
+    ("page_and_best_effort", [ir.gt("o_orderkey", 3499), ir.TRUE]),
+    ("page_or", [ir.any_of(ir.lt("o_orderkey", 1250), ir.gt("p", 499000.0))]),
+    ("page_or_all_or_nothing", [ir.any_of(ir.lt("o_orderkey", 1250), ir.FALSE)]),
+    ("page_not_exact", [ir.negate(ir.lt("o_orderkey", 3500))]),
+    ("page_not_inexact", [ir.negate(ir.lt("o_orderkey", 3600))]),
+    ("page_is_null", [ir.is_null("p")]),
+    ("page_is_not_null", [ir.is_not_null("p")]),
+):
+    _pages(_name, *_ps)
 
 
-def filter_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 400000").select("o_orderkey", "o_totalprice")
+def _pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, p = orders(spark, sf_dir), ir.all_of(ir.gt("p", 400000.0), ir.lt("o_orderkey", 5000))
+    return pruned_scan(df, "o_orderkey", ZONE, p, row_filter(p, df.schema)).select("o_orderkey", "p")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"filter_gt": filter_gt}
-ORACLE_SQL: dict[str, str] = {"filter_gt": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000"}
+QUERIES["pruned_scan"] = _pruned_scan
+ORACLE_SQL["pruned_scan"] = f"SELECT o_orderkey, p FROM (SELECT *, {NULLABLE} AS p FROM orders) AS t WHERE p > 400000 AND o_orderkey < 5000"
