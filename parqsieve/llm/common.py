@@ -7,11 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_dirs: dict[str, str] = {}
 
@@ -30,6 +31,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return by_place.select(*[F.col(p).alias(new) for new, p in places.items()])
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *added: T.StructField) -> DataFrame:
+    """df after run over its batches, whose columns go by place; any names come back as they were, with those of the added columns."""
+    kinds = [T.StructField(f"_c{i}", f.dataType, f.nullable) for i, f in enumerate([*df.schema.fields, *added])]
+    inner = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return inner.mapInArrow(run, T.StructType(kinds)).toDF(*df.columns, *[f.name for f in added])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, as in tests, a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

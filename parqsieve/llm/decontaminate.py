@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parqsieve.llm.common import pick, read_table, slices
+from parqsieve.llm.common import map_rows, pick, read_table, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 NGRAM = 10
@@ -152,7 +152,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = NGRAM, remove: str
     """docs, all columns, without the documents that hold a window (remove="documents") or without the hit words and what stands between them ("spans")."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
-    place, schema = docs.columns.index("text"), docs.schema
+    place = docs.columns.index("text")
     for windows in blocks(items, n, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(windows)
 
@@ -173,7 +173,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = NGRAM, remove: str
                 else:
                     yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = map_rows(docs, clean)
     return docs
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parqsieve.llm.common import pick, read_table, slices, written
+from parqsieve.llm.common import map_rows, pick, read_table, slices, written
 
 SAMPLE = 5000
 LEAN = 7.0
@@ -186,10 +186,10 @@ def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
                 p = own.above(s)
                 g = sum(x >= 0.5 for x in p)
                 rows.append({"score": s, "severity": float(sum(p)), "grade": g, "toxic": g > 0})
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, out)], names=[*part.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, out)], names=[*part.schema.names, f"_c{part.num_columns}"])
 
     kind = T._parse_datatype_string("struct<score:double,severity:double,grade:int,toxic:boolean>")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", kind)]))
+    return map_rows(docs, run, T.StructField("toxicity", kind))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
