@@ -18,6 +18,7 @@ link with each other as two vectors do.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ SPREAD = 3.0
 SORT_SPREAD = 5.5
 MISS = 1e-6
 TILE = 512
+BLOCK_BYTES = 1 << 22
+TASK_PAIRS, TASK_BYTES = 1 << 25, 1 << 25
 
 
 def least_count(lines: int = LINES, spread: float = SPREAD, miss: float = MISS) -> int:
@@ -85,6 +88,21 @@ def compare(left: np.ndarray, right: np.ndarray, same: bool, cosine: float = COS
             yield a + x[close], b + y[close]
 
 
+def meetings(ends: list, reach: float) -> tuple[list[tuple[int, int, int]], int]:
+    """For each block, ordered by dimension and low: its place, its name, and the last place that it meets, since these are
+    neighbours; and the number of tasks, so that a task's vectors fit in memory and its pairs take about a second."""
+    spans, sums, pairs, size, count = [], [0], 0, 0, 0
+    for e in ends:
+        sums.append(sums[-1] + e.n)
+    keys = [(e.dimension, e.low) for e in ends]
+    for k, e in enumerate(ends):
+        last = max(k, bisect.bisect_right(keys, (e.dimension, e.high + reach / math.sqrt(e.dimension))) - 1)
+        met, number = sums[last + 1] - sums[k], last + 1 - k
+        spans.append((k, e.block, last))
+        pairs, size, count = pairs + e.n * met, size + (e.n * number + met) * (8 * e.dimension + 16), count + number
+    return spans, max(1, min(count, max(-(-pairs // TASK_PAIRS), -(-size // TASK_BYTES))))
+
+
 def link(vectors: DataFrame, cosine: float = COSINE, block: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     vectors = pick(vectors, vec_id="vec_id", embedding="embedding")
@@ -116,7 +134,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int | None = None) -
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and (len(rows) == size or row[3] != rows[0][3]):
+                if rows and (len(rows) >= min(size, max(64, BLOCK_BYTES // (8 * row[3]))) or row[3] != rows[0][3]):
                     yield made()
                     number, rows = number + 1, []
                 rows.append(row)
@@ -126,8 +144,8 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int | None = None) -
     parts = max(1, n // size)
     blocks = written(placed.repartitionByRange(parts, "dimension", "at").sortWithinPartitions("dimension", "at").mapInArrow(gather, "block long, dimension int, low double, high double, reps binary, copies binary, vectors binary"), "blocks")
     reach = SORT_SPREAD * math.sqrt(2 - 2 * cosine)
-    ends = sorted((r.dimension, r.low, r.block, r.high) for r in blocks.select("dimension", "low", "block", "high").collect())  # a row for each block of vectors
-    meets = [(x[2], y[2]) for i, x in enumerate(ends) for y in ends[i:] if x[0] == y[0] and y[1] - x[3] <= reach / math.sqrt(x[0])]
+    ends = blocks.select("dimension", "low", "block", "high", (F.length("reps") / 8).cast("long").alias("n")).orderBy("dimension", "low", "block").collect()  # a row for each block of vectors
+    spans, tasks = meetings(ends, reach)
     spark = vectors.sparkSession
     out = "rep long, links long, a long, b long"
 
@@ -149,11 +167,12 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int | None = None) -
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["rep", "links", "a", "b"])
 
-    pairs = spark.createDataFrame(meets or [(-1, -1)], "i long, j long")
+    order = spark.createDataFrame(spans or [(-1, -1, -1)], "k long, i long, last long")
+    pairs = order.select("i", F.explode(F.sequence("k", "last")).alias("k")).join(order.select("k", F.col("i").alias("j")), "k").select("i", "j")
     first = blocks.select(F.col("block").alias("i"), F.col("dimension").alias("d"), F.col("reps").alias("ri"), F.col("copies").alias("ci"), F.col("vectors").alias("vi"))
     second = blocks.select(F.col("block").alias("j"), F.col("reps").alias("rj"), F.col("copies").alias("cj"), F.col("vectors").alias("vj"))
     met = pairs.join(first, "i").join(second, "j").select("i", "j", "d", "ri", "ci", "vi", "rj", "cj", "vj")
-    found = written(met.repartition(max(1, len(meets)), "i", "j").mapInArrow(meet, out), "links")
+    found = written(met.repartition(tasks, "i", "j").mapInArrow(meet, out), "links")
     totals = found.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.where("a is not null").select("a", "b"), "vector-groups")
     per_class = classes.join(totals, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
