@@ -1,7 +1,8 @@
 """The registered queries of the engine and their DuckDB SQL.
 
 ``filter_*`` are exact row filters, ``rg_*`` decisions on zones of a key, ``page_*`` on pages within zones, ``dict_*``
-with dictionary evidence, ``pruned_scan`` a scan of kept zones with the exact filter.
+with dictionary evidence, ``pruned_scan`` a scan of kept zones with the exact filter. ``footer_*`` go by the files' own
+metadata: statistics as the footers hold them, and scans of the row groups and rows that these keep.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parqsieve.operators import ir
+from parqsieve.operators import ir, selection
 from parqsieve.operators.ir import Hint, Op, Predicate
 from parqsieve.operators.rows import row_filter
+from parqsieve.plans.pruner import PruneRequest
 from parqsieve.plans.zonemap import decide, page_rows, pruned_scan
+from parqsieve.sources.footers import list_files, row_groups
 
 FLAGSHIP = "pruned_scan"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +214,37 @@ def _pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pruned_scan"] = _pruned_scan
 ORACLE_SQL["pruned_scan"] = f"SELECT o_orderkey, p FROM (SELECT *, {NULLABLE} AS p FROM orders) AS t WHERE p > 400000 AND o_orderkey < 5000"
+
+
+def _footer_scan(name: str, table: str, columns: tuple[str, ...], predicate: Predicate | str, where: str, **options: bool) -> None:
+    QUERIES[name] = lambda spark, sf_dir: PruneRequest(spark, f"{sf_dir}/{table}.parquet").where(predicate).project(*columns).option(**options).prune().scan()
+    ORACLE_SQL[name] = f"SELECT {', '.join(sorted(columns))} FROM {table} WHERE {where}"
+
+
+_footer_scan("footer_scan_between", "orders", ("o_orderkey", "o_totalprice"), ir.between("o_orderkey", 1000, 1200), "o_orderkey BETWEEN 1000 AND 1200")
+_footer_scan("footer_scan_text", "lineitem", ("l_orderkey", "l_linenumber"), "l_orderkey < 500 AND l_quantity >= 40", "l_orderkey < 500 AND l_quantity >= 40")
+_footer_scan("footer_scan_timestamp", "orders", ("o_orderkey",), ir.lt("o_orderdate", dt.datetime(1995, 2, 1)), "o_orderdate < TIMESTAMP '1995-02-01'")
+_footer_scan("footer_scan_truncated", "customer", ("c_custkey",), ir.starts_with("c_mktsegment", "B"), "c_mktsegment LIKE 'B%'", truncated=True)
+_footer_scan("footer_scan_bloom", "customer", ("c_custkey", "c_mktsegment"), ir.in_list("c_custkey", [7, 70, 99999999]), "c_custkey IN (7, 70, 99999999)")
+_footer_scan("footer_scan_not", "orders", ("o_orderkey",), ir.negate(ir.any_of(ir.gt("o_orderkey", 900), ir.is_null("o_orderkey"))), "NOT (o_orderkey > 900 OR o_orderkey IS NULL)")
+
+
+def _footer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns: list[tuple[str, T.DataType]] = [("o_orderkey", T.LongType()), ("o_totalprice", T.DoubleType())]
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    made = row_groups(list_files(spark, f"{sf_dir}/orders.parquet"), [(c, schema[c].dataType) for c, _ in columns], pages=False)
+    return made.agg(F.sum("num_rows").alias("n"), *[x for i, (c, kind) in enumerate(columns) for x in (F.min(f"low_{i}").cast(kind).alias(f"low_{c}"), F.max(f"high_{i}").cast(kind).alias(f"high_{c}"), F.sum(f"nulls_{i}").alias(f"nulls_{c}"))])
+
+
+QUERIES["footer_stats"] = _footer_stats
+ORACLE_SQL["footer_stats"] = "SELECT count(*) AS n, " + ", ".join(f"min({c}) AS low_{c}, max({c}) AS high_{c}, count(*) FILTER (WHERE {c} IS NULL) AS nulls_{c}" for c in ("o_orderkey", "o_totalprice")) + " FROM orders"
+
+
+def _bitmap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 < 4").select(F.lit("orders").alias("file"), F.col("o_orderkey").cast("long").alias("row_id"))
+    return selection.runs_of_ids(selection.ids_of_bitmaps(selection.bitmaps(ids.distinct()))).select("start", "n")
+
+
+QUERIES["bitmap_round_trip"] = _bitmap_round_trip
+ORACLE_SQL["bitmap_round_trip"] = """WITH i AS (SELECT DISTINCT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderkey % 10 < 4)
+SELECT min(k) AS start, count(*) AS n FROM (SELECT k, k - row_number() OVER (ORDER BY k) AS island FROM i) AS t GROUP BY island"""
