@@ -27,7 +27,7 @@ from parqsieve.operators.tristate import Stats, keep, tristate
 from parqsieve.plans.compiler import Compiled, Compiler, SchemaIndex
 from parqsieve.sources import footers
 from parqsieve.sources.evidence import KEYS, Evidence, FooterEvidence
-from parqsieve.sources.rowranges import read_ranges
+from parqsieve.sources.rowranges import read_ranges, tasks_for
 
 
 @dataclass(frozen=True)
@@ -48,9 +48,10 @@ def projection_of(columns: Iterable[str] | None) -> list[str] | None:
 
 @dataclass(frozen=True)
 class PruneResult:
-    """groups: file, length, modified, rg, num_rows, ranges (null: the whole group) of what is kept."""
+    """groups: file, length, modified, rg, num_rows, ranges (null: the whole group) of what is kept; files: all that were listed."""
 
     groups: DataFrame
+    files: DataFrame
     schema: T.StructType
     compiled: Compiled
     options: PruneOptions
@@ -102,19 +103,19 @@ class PruneResult:
         """The matching rows of what is kept. Where parts of a text couldn't be compiled, the whole condition is needed as ``exact``."""
         if self.errors and exact is None:
             raise ValueError("parts of the predicate couldn't be compiled; give the exact condition")
-        rows = read_ranges(self.groups, self.read_schema(), self.opener)
+        rows = read_ranges(self.groups, self.read_schema(), self.opener, tasks_for(self.files))
         hits = exact if exact is not None else row_filter(And(tuple(self.predicates)), self.schema)
         found = rows.where(hits)
         return found if self.output is None else found.select(*[f"`{c}`" if c in self.schema.names else c for c in self.output])
 
 
-def decide(spark: SparkSession, path: str | list[str], schema: T.StructType, predicates: list[Predicate], options: PruneOptions, evidence: Evidence, opener: footers.Opener) -> DataFrame:
+def decide(files: DataFrame, schema: T.StructType, predicates: list[Predicate], options: PruneOptions, evidence: Evidence, opener: footers.Opener) -> DataFrame:
     """file, length, modified, rg, num_rows, ranges of the row groups that are kept."""
     index = SchemaIndex(schema)
     whole = And(tuple(predicates))
     columns = [(c, index.paths[c]) for c in whole.columns() if c in index.paths]
     place = {c: i for i, (c, _) in enumerate(columns)}
-    groups = footers.row_groups(footers.list_files(spark, path), columns, options.page_index, opener)
+    groups = footers.row_groups(files, columns, options.page_index, opener)
 
     def usable(i: int) -> Column:
         return F.coalesce(F.col(f"ordered_{i}") & (F.lit(True) if options.truncated else F.col(f"whole_{i}")), F.lit(False))
@@ -213,8 +214,9 @@ class Pruner:
         return self._prune(path, self.compile(predicate), output)
 
     def _prune(self, path: str | list[str], compiled: Compiled, output: Iterable[str] | None) -> PruneResult:
-        groups = decide(self.spark, path, self.schema, compiled.predicates, self.options, self.evidence, self.opener)
-        return PruneResult(groups, self.schema, compiled, self.options, projection_of(output), self.opener)
+        files = footers.list_files(self.spark, path)
+        groups = decide(files, self.schema, compiled.predicates, self.options, self.evidence, self.opener)
+        return PruneResult(groups, files, self.schema, compiled, self.options, projection_of(output), self.opener)
 
     def try_compile(self, predicate: Predicate | str) -> CompiledPruner:
         """Raises the first error if any part can't be compiled."""

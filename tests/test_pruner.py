@@ -91,6 +91,13 @@ def test_row_groups_and_pages(spark, folder, schema):
     assert [(r.rg, r.ranges) for r in off.groups.collect()] == [(1, None)]
 
 
+def test_scan_is_spread_over_tasks(spark, folder, schema):
+    from pyspark.sql import functions as F
+
+    rows = Pruner(spark, schema).prune(folder, None, ["k"]).scan()
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 2
+
+
 def test_columns_and_errors(spark, folder, schema):
     made = PruneRequest(spark, folder, schema).where("k < 100 AND length(s) > 1").project("d", "", "d").prune()
     assert [str(p) for p in made.predicates] == ["k < 100"] and isinstance(made.errors[0], UnsupportedExpression | Exception) and made.required_columns == sorted({"d", "k", *made.predicate_columns})
