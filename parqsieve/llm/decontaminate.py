@@ -2,8 +2,8 @@
 
 The words of a text are the runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z became lower case. A window is n
 consecutive words of an item; an item of fewer words, but not none, is one window. The item side is broadcast in blocks
-of at most ``BLOCK_BYTES`` of text, each scanned against all documents; more items make more blocks. A window of a
-document is looked up by a 64-bit rolling hash and verified word by word. Null texts have no words; items with a null id
+of about ``BLOCK_BYTES`` of text, one at a time, each scanned against all documents; more items make more blocks. A
+window of a document is looked up by a 64-bit rolling hash and verified word by word. Null texts have no words; items with a null id
 count for hits but aren't named. Each input row gives one row, also where rows repeat.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parqsieve.llm.common import map_rows, pick, read_table, slices
+from parqsieve.llm.common import map_rows, pick, read_table, slices, written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 NGRAM = 10
@@ -30,45 +30,51 @@ HITS = "doc_id long, n_words long, items array<string>, runs array<struct<first:
 
 
 class Windows:
-    """The windows of one block of items."""
+    """The windows of one block of items, as arrays: some 20 bytes for each word of the items, and their distinct words."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int = NGRAM):
         self.word_ids: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            words = [self.word_ids.setdefault(w, len(self.word_ids) + 1) for w in WORD.findall((text or "").encode().lower())]
-            size = min(n, len(words))
-            for at in range(len(words) - size + 1 if size else 0):
-                found[size][tuple(words[at : at + size])].add(item)
-        self.windows = {size: dict(x) for size, x in found.items()}
-        self.hashes = {size: np.sort(self.rolling(np.array(list(x), np.uint64).ravel(), size)[::size]) for size, x in self.windows.items()}
+        self.names = [item for item, _ in items]
+        rows, starts, owners, sizes, begin = [np.empty(0, np.uint32)], defaultdict(list), defaultdict(list), [], 0
+        for k, (_, text) in enumerate(items):
+            words = WORD.findall((text or "").encode().lower())
+            rows.append(np.fromiter((self.word_ids.setdefault(w, len(self.word_ids) + 1) for w in words), np.uint32, len(words)))
+            if size := min(n, len(words)):
+                starts[size].append(np.arange(begin, begin + len(words) - size + 1, dtype=np.int64))
+                owners[size].append(np.full(len(words) - size + 1, k, np.int32))
+            begin += len(words)
+        self.words = np.concatenate(rows)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in starts:
+            start, owner = np.concatenate(starts[size]), np.concatenate(owners[size])
+            hashes = self.rolling(self.words, size)[start]
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = hashes[order], start[order], owner[order]
 
     @staticmethod
     def rolling(ids: np.ndarray, size: int) -> np.ndarray:
         total = np.zeros(max(0, len(ids) - size + 1), np.uint64)
         for k in range(size):
-            total = total * _STEP + ids[k : len(ids) - size + 1 + k]
+            total = total * _STEP + ids[k : len(ids) - size + 1 + k].astype(np.uint64)
         return total
 
     def scan(self, words: list[bytes]) -> tuple[set, list[tuple[int, int]]]:
         """Items that occur, and the runs [first, last] of hit words, merged."""
         get = self.word_ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        known, items, runs = ids > 0, set(), []
-        for size, hashes in self.hashes.items():
+        ids = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
+        inside = np.concatenate(([0], np.cumsum(ids > 0)))
+        items, runs = set(), []
+        for size, (hashes, start, owner) in self.windows.items():
             if len(ids) < size:
                 continue
-            inside = np.concatenate(([0], np.cumsum(known)))
-            starts = np.flatnonzero(inside[size:] - inside[:-size] == size)
-            if not len(starts):
-                continue
-            mine = self.rolling(ids, size)[starts]
-            place = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
-            for at in starts[hashes[place] == mine].tolist():
-                named = self.windows[size].get(tuple(ids[at : at + size].tolist()))
-                if named:
-                    items |= named
-                    runs.append((at, at + size - 1))
+            at = np.flatnonzero(inside[size:] - inside[:-size] == size)
+            mine = self.rolling(ids, size)[at]
+            low, high = (np.searchsorted(hashes, mine, side) for side in ("left", "right"))
+            for spot, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                same = (self.words[start[a:b, None] + np.arange(size)] == ids[spot : spot + size]).all(axis=1)
+                if same.any():
+                    items.update(self.names[k] for k in np.unique(owner[a:b][same]).tolist())
+                    runs.append((spot, spot + size - 1))
         return items, merged(runs)
 
 
@@ -82,45 +88,46 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(items: DataFrame, n: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> Iterator[Windows]:
-    """The items in blocks of about block_bytes of text, one at a time on the driver; empty if no item has a word."""
+def blocks(items: DataFrame, n: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[Windows]]:
+    """The number of blocks, of about block_bytes of text each, and the blocks one at a time on the driver; one that is empty if no item has a word."""
     items = pick(items, item_id="item_id", text="text").where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").dropDuplicates()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(total / block_bytes))
-    for k in range(count):
-        mine = items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield Windows([(r.item_id, r.text) for r in mine.toLocalIterator()], n)
+    parts = (items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count))
+    return count, (Windows([(r.item_id, r.text) for r in part.toLocalIterator()], n) for part in parts)
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of docs: doc_id, n_words, items (ids of items with windows in it) and runs of hit word numbers."""
     docs = pick(docs, doc_id="doc_id", text="text")
-    spark, parts = docs.sparkSession, []
-    for windows in blocks(items, n, block_bytes):
-        held = spark.sparkContext.broadcast(windows)
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                words = [WORD.findall((t or "").encode().lower()) for t in part.column(1).to_pylist()]
-                hits = [held.value.scan(w) for w in words]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(w) for w in words], pa.int64()),
-                        pa.array([sorted(x for x in found if x is not None) for found, _ in hits], pa.list_(pa.string())),
-                        pa.array([[{"first": a, "last": b} for a, b in runs] for _, runs in hits], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                    ],
-                    names=["doc_id", "n_words", "items", "runs"],
-                )
-
-        parts.append(docs.mapInArrow(scan, HITS))
-    return parts[0] if len(parts) == 1 else _joined(docs, items, n, block_bytes)
-
-
-def _joined(docs: DataFrame, items: DataFrame, n: int, block_bytes: int) -> DataFrame:
-    """The results of several blocks, brought together by a document's id and text; repeated rows come back as often as they were."""
+    count, made = blocks(items, n, block_bytes)
+    if count > 1:
+        return _joined(docs, made)
+    held = docs.sparkSession.sparkContext.broadcast(next(made))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words = [WORD.findall((t or "").encode().lower()) for t in part.column(1).to_pylist()]
+            hits = [held.value.scan(w) for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([sorted(x for x in found if x is not None) for found, _ in hits], pa.list_(pa.string())),
+                    pa.array([[{"first": a, "last": b} for a, b in runs] for _, runs in hits], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+                ],
+                names=["doc_id", "n_words", "items", "runs"],
+            )
+
+    return docs.mapInArrow(scan, HITS)
+
+
+def _joined(docs: DataFrame, made: Iterator[Windows]) -> DataFrame:
+    """The results of several blocks, brought together by a document's id and text; repeated rows come back as often as they were.
+
+    Each block's results are written before the next block is broadcast, so that one block at a time is in memory."""
     parts = []
-    for k, windows in enumerate(blocks(items, n, block_bytes)):
+    for k, windows in enumerate(made):
         held = docs.sparkSession.sparkContext.broadcast(windows)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, k=k) -> Iterator[pa.RecordBatch]:
@@ -133,7 +140,8 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, block_bytes: int) -> Data
                     rows.append({"doc_id": doc_id, "key": key, "block": k, "n_words": len(words), "items": sorted(x for x in found if x is not None), "runs": [{"first": a, "last": b} for a, b in runs]})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("block", pa.int32()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("runs", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))]))
 
-        parts.append(docs.mapInArrow(scan, f"key binary, block int, {HITS}".replace("key binary, block int, doc_id long", "doc_id long, key binary, block int")))
+        parts.append(written(docs.mapInArrow(scan, HITS.replace("doc_id long", "doc_id long, key binary, block int")), "hits"))
+        held.destroy()
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -152,8 +160,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = NGRAM, remove: str
     """docs, all columns, without the documents that hold a window (remove="documents") or without the hit words and what stands between them ("spans")."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
-    place = docs.columns.index("text")
-    for windows in blocks(items, n, block_bytes):
+    names, place = docs.columns, docs.columns.index("text")
+    count, made = blocks(items, n, block_bytes)
+    for windows in made:
         held = docs.sparkSession.sparkContext.broadcast(windows)
 
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -174,6 +183,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = NGRAM, remove: str
                     yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
         docs = map_rows(docs, clean)
+        if count > 1:  # one block at a time is in memory
+            docs = written(docs.toDF(*[f"_c{i}" for i in range(len(names))]), "clean").toDF(*names)
+            held.destroy()
     return docs
 
 
