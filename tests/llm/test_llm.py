@@ -56,7 +56,8 @@ def test_plain_characters_are_alike_in_both_libraries():
 def test_decontamination(spark, block_bytes):
     rng = random.Random(2)
     items = [sentence(rng, 14), "Just Three words", None, "", sentence(rng, 10)]
-    texts = [*odd_texts(), "x " + items[0] + " y", items[0][5:] + " just three WORDS", items[4], items[4]]
+    items += ["new " + items[0] + " tail", "on and " * 12, "just three words", items[4]]
+    texts = [*odd_texts(), "x " + items[0] + " y", items[0][5:] + " just three WORDS", items[4], items[4], "on and " * 9]
     table = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     want = []
