@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own_dirs: dict[str, str] = {}
+_scopes: list[list[str]] = []  # open scopes of scratch()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +42,12 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, as in tests, a local one."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset and all tasks run in the driver's process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         path = tempfile.mkdtemp(prefix="parqsieve-")
@@ -52,13 +57,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what is written to the shared folder within the block, at its end; for callers that have written their result elsewhere by then.
+
+    Results of the operators read such tables, so one that is handed out lazily keeps them until the caller's scope ends."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            delete_path(spark, path)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,6 +92,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], copies: str, total: int, how: str = "inner") -> DataFrame:
+    """many joined with one, whose keys are unique and whose column ``copies`` says how often many has a key; without that column.
+
+    Keys with more than a share of 1 / (4 * partitions) of the ``total`` rows of many are hot. There are at most 4 * partitions of
+    them, so these are broadcast and their rows stay where they are; the others are joined by a shuffle.
+    """
+    spark = many.sparkSession
+    share = max(1, total // (4 * shuffle_partitions(spark)))
+    hot = F.broadcast(one.where(F.col(copies) > share).drop(copies))
+    cold = many.join(hot.select(*keys), keys, "left_anti").join(one.where(F.col(copies) <= share).drop(copies), keys, how)
+    return cold.unionByName(many.join(hot, keys))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -5,11 +5,18 @@ shingle. ``SIDE`` entries of either of two small collections, each of ``DEPTH``
 table keys of 2 * DEPTH minhashes each from 2 * SIDE * DEPTH instead of SIDE * SIDE * 2 * DEPTH of them. A pair of similarity
 s is missed by all tables with a probability of about 2 * (1 - s**DEPTH)**SIDE, 1e-4 at 0.75 and less beyond.
 
-Steps: equal sets become one class, aggregated before the shuffle. Each task drops its own repeats of a table key, so a
-key reaches its place at most once for each batch that has it. Documents that share keys make families (connected
-components, in tables). Every pair of a family that isn't linked by then is confirmed on full sets; a family of more than
-``BLOCK`` classes is dealt out in pairs of blocks, so that no task holds more than two blocks. Links within a task leave it
-as a forest, and components of all forests are the result.
+Steps: equal sets (of one size, with two equal 64-bit sums of differently mixed hashes) become one class, aggregated before
+the shuffle. Each task drops its own repeats of a table key, so a key reaches its place at most once for each batch that has
+it. Classes that share keys make families (connected components, in tables); that only says where texts have to meet. Two
+classes are candidates if they agree in an entry of either collection, which is what sharing a table key means; only
+candidates are verified, on full sets, and only if no chain of links has connected them by then.
+
+A family of one block (``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles at most) meets in one task. A larger one is dealt
+out twice. First every block meets ``PIVOTS`` classes of the family: in a group of copies nearly all link to one of these, so
+each text is read once however large the group. Then the stragglers, the classes outside the family's largest component,
+are dealt out in blocks of their own, and each of these meets every block of the family. So the work is a family's size
+times its number of blocks of stragglers, and no task holds more than two blocks. Links leave a task as a forest, and
+components of all forests are the result.
 
 Null ids and texts without words are linked with nothing; so component_id is the own id, null for a null id, and kept is
 true. Rows of equal ids are one node with all their texts, and each has its own n_shingles.
@@ -24,16 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parqsieve.llm.common import pick, read_table, shuffle_partitions, slices, written
+from parqsieve.llm.common import join_hot, pick, read_table, shuffle_partitions, slices, written
 from parqsieve.llm.components import Sets, components
 
 WORDS = 5
 SIDE = 12
 DEPTH = 2
 BLOCK = 1024
+BLOCK_SHINGLES = 2_000_000
+PIVOTS = 16
 KEYS_A_PLACE = 2_000_000
 PERCENT = 75
 WORD_CACHE = 300_000
@@ -64,10 +73,14 @@ def shingles(text: str | None, hashes: WordHashes, k: int = WORDS) -> np.ndarray
         return np.empty(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     size = min(k, len(h))
-    total = np.full(len(h) - size + 1, size, np.uint64)
+    sums = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
-        total += mixed(h[i : len(h) - size + 1 + i] * STEPS[i])
-    return np.unique(mixed(total))
+        sums += mixed(h[i : len(h) - size + 1 + i] * STEPS[i])
+    return np.unique(mixed(sums))
+
+
+def total(s: np.ndarray) -> int:
+    return int(s.sum(dtype=np.uint64).view(np.int64))
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
@@ -90,8 +103,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingles(text, hashes)
                 n.append(len(s))
                 entry = minhashes(s).view(np.int64) if len(s) else None
-                h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                h1.append(total(s))
+                h2.append(total(mixed(s ^ np.uint64(0x5851F42D4C957F2D))))
                 u.append(None if entry is None else entry[:SIDE])
                 v.append(None if entry is None else entry[SIDE:])
             longs = pa.list_(pa.int64())
@@ -148,88 +161,121 @@ def candidate_edges(classes: DataFrame, n_classes: int) -> DataFrame:
     return classes.select("rep", "u", "v").mapInArrow(deal, "place int, keys binary, ids binary, x binary, y binary").groupBy("place").applyInArrow(meet, "a long, b long")
 
 
-def links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A forest of the links among the sets; with two blocks, of those between them. Every pair not yet connected is confirmed, best-connected sets first."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    order = np.argsort(-np.add.reduceat(times[flat], starts) / sizes, kind="stable")
-    two, mark, group, out = len(np.unique(blocks)) > 1, np.zeros(len(times), bool), np.arange(n), []
-    for c in order.tolist():
-        open_ = (group != group[c]) & (100 * np.minimum(sizes, sizes[c]) >= percent * np.maximum(sizes, sizes[c]))
-        if two:
-            open_ &= blocks != blocks[c]
-        at = np.flatnonzero(open_)
-        if not len(at):
-            continue
-        mine = flat[starts[c] : starts[c] + sizes[c]]
-        mark[mine] = True
-        if len(at) * 4 > n:
-            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)[at]
-        else:
-            common = np.array([np.count_nonzero(mark[flat[starts[x] : starts[x] + sizes[x]]]) for x in at.tolist()])
-        mark[mine] = False
-        for x in at[100 * common >= percent * (sizes[at] + sizes[c] - common)].tolist():
-            if group[x] != group[c]:
-                group[group == group[x]] = group[c]
-                out.append((int(ids[c]), int(ids[x])))
-    return out
-
-
-def tasks_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """The rows of sorted batches, by their first n_keys columns."""
-    rows = (row for part in slices(batches) for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
+class Members:
+    """Classes that meet in one task: ids, entries of both collections, sets."""
+
+    def __init__(self, rows: list[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]):
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.asking = np.array([r[1] for r in rows], bool)
+        self.u, self.v = (np.stack([r[k] for r in rows]) for k in (2, 3))
+        self.sizes = np.array([len(r[4]) for r in rows])
+        names, flat = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+        self.flat, self.n_names = flat.astype(np.int32), len(names)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+
+    def links(self, percent: int = PERCENT) -> list[tuple[int, int]]:
+        """A forest of the links between asking members and any others; candidates not yet connected are confirmed, best-connected sets first."""
+        times = np.bincount(self.flat, minlength=self.n_names)
+        order = np.argsort(-np.add.reduceat(times[self.flat], self.starts) / self.sizes, kind="stable")
+        mark, group, out = np.zeros(self.n_names, bool), np.arange(len(self.ids)), []
+        for c in order[self.asking[order]].tolist():
+            n = self.sizes[c]
+            at = np.flatnonzero((group != group[c]) & (100 * np.minimum(self.sizes, n) >= percent * np.maximum(self.sizes, n)))
+            at = at[(self.u[at] == self.u[c]).any(axis=1) & (self.v[at] == self.v[c]).any(axis=1)]
+            if not len(at):
+                continue
+            mine = self.flat[self.starts[c] : self.starts[c] + n]
+            mark[mine] = True
+            reach = np.cumsum(self.sizes[at])
+            spots = np.arange(reach[-1]) + np.repeat(self.starts[at] - reach + self.sizes[at], self.sizes[at])
+            common = np.add.reduceat(mark[self.flat[spots]], reach - self.sizes[at], dtype=np.int64)
+            mark[mine] = False
+            for x in at[100 * common >= percent * (self.sizes[at] + n - common)].tolist():
+                if group[x] != group[c]:
+                    group[group == group[x]] = group[c]
+                    out.append((int(self.ids[c]), int(self.ids[x])))
+        return out
+
+
+def tasks_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """The rows of sorted batches, by their first n_keys columns; each group is to be read before the next."""
+    rows = (row for part in slices(batches, 64) for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
     for key, group in itertools.groupby(rows, key=lambda r: r[:n_keys]):
-        yield key, [r[n_keys:] for r in group]
+        yield key, (r[n_keys:] for r in group)
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    docs = pick(docs, doc_id="doc_id", text="text")
-    spark = docs.sparkSession
-    signed = written(signatures(docs), "signatures")
-    some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("u").alias("u"), F.first("v").alias("v")), "classes")
-    families = written(components(written(candidate_edges(classes, classes.count()), "candidates"), "families"), "families")
-
-    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = families.join(sizes, "component").select("component", F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+def confirmed(docs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: forests of the links within each group of dealt (group columns component, i, j; doc_id, asking, h1, u, v), whose texts are read from docs."""
     # by shuffle at every size: members grow with the corpus, so the plan mustn't turn on whether they happen to be few
-    read = docs.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "i", "j", "doc_id", "own", "text")
+    read = docs.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "i", "j", "doc_id", "asking", "h1", "u", "v", "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for _, rows in tasks_of(batches, 3):
-            unique: dict[tuple, tuple] = {}
-            for doc_id, own, text in rows:
+            unique: dict[tuple, list] = {}
+            for doc_id, asking, h1, u, v, text in rows:  # of each text only its set is kept
                 s = shingles(text, hashes)
-                if len(s):
-                    unique.setdefault((doc_id, s.tobytes()), (doc_id, own, s))
-            if len(unique) > 1:
-                ids, own, sets = zip(*unique.values(), strict=True)
-                found = links(np.array(ids), np.array(own), list(sets), percent)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    shuffled = read.repartition(shuffle_partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    confirmed = shuffled.mapInArrow(confirm, "a long, b long")
-    rep_links = signed.where("n_shingles > 0 and doc_id is not null").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(confirmed.unionByName(rep_links), "groups")
+                if len(s) and total(s) == h1:  # an id may have several texts
+                    held = unique.setdefault((doc_id, hash(s.tobytes())), [doc_id, False, np.array(u), np.array(v), s])
+                    held[1] |= asking
+            found = Members(list(unique.values())).links(percent) if len(unique) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    shuffled = read.repartition(shuffle_partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return shuffled.mapInArrow(confirm, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    docs = pick(docs, doc_id="doc_id", text="text")
+    signed = written(signatures(docs), "signatures")
+    some = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = written(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("u").alias("u"), F.first("v").alias("v")), "classes")
+    found = components(written(candidate_edges(classes, classes.count()), "candidates"), "families")
+    members = written(found.join(classes.select(F.col("rep").alias("node"), "n_shingles", "h1", "u", "v"), "node").select("component", F.col("node").alias("doc_id"), "n_shingles", "h1", "u", "v"), "families")
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = written(sizes, "family-sizes")
+    small = members.join(sizes.where("blocks = 1").select("component"), "component").select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", F.lit(True).alias("asking"), "h1", "u", "v")
+    links = confirmed(docs, small, percent)
+
+    large = sizes.where("blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # a row for each block of classes
+    if not large.isEmpty():
+        in_large = members.join(sizes.where("blocks > 1"), "component")
+        own = written(in_large.withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).drop("n_shingles"), "family-blocks")
+        texts = written(docs.join(own.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "family-texts")
+        by_hash = Window.partitionBy("component").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+        first = own.withColumn("of", F.row_number().over(Window.partitionBy("component", "i").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))).where(F.col("of") <= PIVOTS)  # of each block, then of these
+        pivots = written(first.withColumn("of", F.row_number().over(by_hash)).where(F.col("of") <= PIVOTS).select("component", "doc_id", "h1", "u", "v"), "pivots")
+        columns = ["component", "i", "j", "doc_id", "asking", "h1", "u", "v"]
+        to_blocks = pivots.join(large.select("component", "i"), "component").select("component", "i", F.lit(0).alias("j"), "doc_id", F.lit(True).alias("asking"), "h1", "u", "v")
+        once = written(confirmed(texts, own.select("component", "i", F.lit(0).alias("j"), "doc_id", F.lit(False).alias("asking"), "h1", "u", "v").unionByName(to_blocks), percent), "pivot-links")
+        reached = components(once, "pivot-groups").select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+        parts = own.select("component", "doc_id").join(reached, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        counted = parts.groupBy("component", "part").agg(F.count("*").alias("n"))
+        largest = counted.groupBy("component").agg(F.max(F.struct("n", "part")).alias("most")).select("component", F.col("most.part").alias("main"))
+        left = written(own.join(parts.join(largest, "component").where("part <> main").select("doc_id"), "doc_id"), "stragglers")
+        left_blocks = left.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("left_blocks"))
+        asking = left.join(left_blocks, "component").withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(1)), "left_blocks").cast("int"))
+        to_left = asking.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asking", F.lit(True)).select(*columns)
+        answering = own.join(left_blocks, "component").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1))).withColumn("asking", F.lit(False)).select(*columns)
+        links = links.unionByName(once).unionByName(confirmed(texts, to_left.unionByName(answering), percent))
+
+    equal = join_hot(some.select("doc_id", "h1", "h2", "n_shingles"), classes.select("h1", "h2", "n_shingles", "rep", "copies"), ["h1", "h2", "n_shingles"], "copies", some.count())
+    found = components(links.unionByName(equal.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "groups")
     joined = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each group; rows with a null doc_id stay."""
+    """docs, all columns, with one document of each group. All rows of its id stay, but for repeats of one id and text, and so do rows with a null doc_id."""
     names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    doc_id = f"_c{names.index('doc_id')}"
-    keep = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id))
-    one = inner.join(keep, doc_id, "left_semi").dropDuplicates([doc_id])
-    return one.unionByName(inner.where(F.col(doc_id).isNull())).select(*inner.columns).toDF(*names)
+    doc_id, text = (f"_c{names.index(c)}" for c in ("doc_id", "text"))
+    keep = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
+    one = inner.join(keep, doc_id, "left_semi").select(*inner.columns).withColumn("_text", F.sha2(F.col(text).cast("binary"), 256)).dropDuplicates([doc_id, "_text"]).drop("_text")
+    return one.unionByName(inner.where(F.col(doc_id).isNull())).toDF(*names)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parqsieve.llm import chat, decontaminate, embeddings, html_crf, minhash, packing, suffixes, tokens, toxicity, warc
 from parqsieve.llm.common import scratch_path
+from parqsieve.llm.components import components
 
 DOCS = "doc_id long, text string, DOC_ID string, key string, n_bytes int"
 
@@ -235,3 +236,30 @@ def test_chat(spark):
     ann = made[1, "ann"]
     assert ann.labels == [0, 1, 1, 0] and [ann.rendered[s.begin : s.end] for s in ann.spans] == ["hi", "b"]
     assert "user name=bob" in ann.rendered and made[1, "bob"].labels == [0, 0, 0, 1]
+
+
+def test_minhash_of_a_large_family(spark):
+    """5,000 different texts of one family, in blocks, and stragglers that only some of them link with."""
+    rng = random.Random(12)
+    base = ["word%d" % rng.randint(0, 9999) for _ in range(60)]
+    texts = [" ".join([*base[:k % 50], "edit%d" % k, *base[k % 50 + 1 :]]) for k in range(5000)]
+    texts += [" ".join([*t.split()[:52], *("tail%d" % rng.randint(0, 99) for _ in range(8))]) for t in texts[:20]]  # less alike than 0.75 to most
+    made = {r.doc_id: r for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    assert all(made[i].component_id == 0 for i in range(5000))
+    linked = [any(100 * len(s & o) >= 75 * len(s | o) for o in sets[:5000]) for s in sets[5000:]]
+    assert [made[5000 + i].component_id == 0 for i in range(20)] == linked
+
+
+def test_hubs_and_hot_keys(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000, i) for i in range(1001, 1300)] + [(1299, 2000), (2000, 2001), (5, 5), (None, 3)]
+    made = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert made == {i: 0 for i in range(400)} | {i: 1000 for i in range(1000, 1300)} | {2000: 1000, 2001: 1000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_document_of_a_group_stays_whole(spark):
+    texts = ["first text of one id", "second and quite another text", "something else", "something else", "x"]
+    table = spark.createDataFrame([(1, texts[0], 1), (1, texts[1], 2), (1, texts[1], 3), (3, texts[2], 4), (4, texts[3], 5), (None, texts[3], 6)], "doc_id long, text string, DOC_ID int")
+    kept = sorted((str(r[0]), r[1]) for r in minhash.keep_one(table).collect())
+    assert kept == sorted([("1", texts[0]), ("1", texts[1]), ("3", texts[2]), ("None", texts[3])])
