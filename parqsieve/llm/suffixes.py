@@ -6,11 +6,18 @@ for about every 70 bytes. Segments go to the place of their marker, packed, afte
 
 * a marker that occurs once is done: none of its strings repeats (one that recurs within a segment goes the third way);
 * equal segments (two independent 64-bit hashes) repeat in full;
-* where different segments share a marker, one segment of each kind sends its bytes to the marker's place, and there the
-  shards (what each task sent) are merged: the order of all suffixes is refined step by step, each round stepping back
-  by as many bytes as the order is deep, so that the preceding symbol was ranked by the round before and LENGTH bytes
-  take six rounds rather than LENGTH. Suffixes alone in their interval leave at once; what is left after LENGTH bytes
-  are the intervals of common prefixes of at least LENGTH, that is the strings that repeat.
+* where different segments share a marker, one segment of each kind goes to be compared. Segments are gathered in shards of
+  ``SHARD_BYTES``; a task sorts the suffixes of its shards and sends their Burrows-Wheeler transforms, each split by place (the
+  rows of whole segments, in the shard's order, are the transform of these segments alone). In a place the transforms
+  are merged: the interleave of their rows, first by one symbol of ``SYMBOL`` bytes, is refined symbol by symbol (eight rounds for 200 bytes; a symbol of one byte
+  would take 200). In each round
+  the rows of unfinished intervals take the order in which their successors stand; the rows of one transform never
+  change their order, and no suffix is sorted again. Where the successors of two neighbours lie in different intervals, their
+  common prefix ends, so the intervals left after LENGTH bytes are those of the common prefixes of at least LENGTH:
+  the strings that repeat. Rows alone in their interval leave at once.
+
+A segment has at most ``STRINGS`` strings. Markers with more than ``HOT_KINDS`` different segments are split: the strings of their
+segments are routed once more, by a marker of ``LONG_MARKER`` bytes.
 
 Strings are judged on the input, never across documents. Null and empty texts have no bytes. Repeated rows repeat each
 other. A null doc_id is a document like any other.
@@ -19,6 +26,7 @@ other. A null doc_id is a document like any other.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +43,16 @@ MARKER = 64
 CHUNK = 1 << 21
 PLACE_BYTES = 12 << 20
 MERGE_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+SYMBOL = 25
+PACKED = 7
+STRINGS = 4096
+HOT_KINDS = 8192
+LONG_MARKER = 128
 _random = np.random.default_rng(20240602)
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = int(_random.integers(1 << 61, 1 << 62)) * 2 + 1
-NEED, WHOLE, LEND = 2, 1, 3
+NEED, WHOLE, LEND, HOT = 2, 1, 3, 4
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -77,6 +91,9 @@ def segments(data: bytes, ends: np.ndarray, length: int = LENGTH, marker: int =
         first = np.flatnonzero(change)
         count = np.diff(np.append(first, len(least)))
         first, count = first[valid[first]], count[valid[first]]
+        pieces = -(-count // STRINGS)
+        piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, count = np.repeat(first, pieces) + piece * STRINGS, np.minimum(STRINGS, np.repeat(count, pieces) - piece * STRINGS)
         whole = (sums[first + count + length - 1] - sums[first]) * down[first]
         reach = count + wide - 1
         base = np.concatenate(([0], np.cumsum(reach)))
@@ -87,43 +104,116 @@ def segments(data: bytes, ends: np.ndarray, length: int = LENGTH, marker: int =
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.empty(0, k) for k in kinds)
 
 
-def repeated_positions(shards: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string of the shards, the positions whose next length bytes also start elsewhere in them."""
-    step = min(8, length)
-    raw = np.frombuffer(b"".join(shards), np.uint8)
-    sizes = np.array([len(s) for s in shards], np.int64)
-    ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(len(raw))
-    symbol = np.zeros(len(raw), np.uint64)
-    for k in range(step):
-        symbol[: len(raw) - k] |= raw[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
-    active = np.flatnonzero(left >= step)
-    key, depth = symbol[active], step
-    rank = np.full(len(raw) + 1, -1, np.int64)
-    while True:
-        _, at, times = np.unique(key, return_inverse=True, return_counts=True)
-        shared = times[at] > 1
-        rank[:] = -1
-        rank[active[shared]] = at[shared]
-        active = active[shared]
-        if depth >= length or not len(active):
-            break
-        back = min(depth, length - depth)
-        after = np.minimum(active + back, len(raw))
-        ok = (left[active] >= depth + back) & (rank[after] >= 0)
-        active, after = active[ok], after[ok]
-        key, depth = rank[active] * (len(times) + 1) + rank[after], depth + back
-    cuts = np.searchsorted(active, ends)
-    begins = ends - sizes
-    return [x - b for x, b in zip(np.split(active, cuts[:-1]), begins.tolist(), strict=True)]
-
-
-def runs_of(positions: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
-    """[begin, end) of the bytes that the strings at positions (sorted) cover."""
-    if not len(positions):
-        return []
-    cut = np.flatnonzero(np.diff(positions) > length)
-    return list(zip(positions[np.concatenate(([0], cut + 1))].tolist(), (positions[np.concatenate((cut, [len(positions) - 1]))] + length).tolist(), strict=True))
+def slots_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes plus one, each text followed by a zero as its end; where each text begins; and the place of the end for every slot."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    symbols = np.zeros(int((sizes + 1).sum()), np.int64)
+    end = np.repeat(begins + sizes, sizes + 1)
+    symbols[np.arange(len(symbols)) != end] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    return symbols, begins, end
+
+
+def first_symbols(symbols: np.ndarray) -> np.ndarray:
+    """The first PACKED bytes of every suffix as a number, with zeros beyond its end."""
+
+    def joined(front: np.ndarray, n: int, tail: np.ndarray, m: int) -> np.ndarray:
+        """n symbols, then m more where the text hasn't ended by then."""
+        out = front << 9 * m
+        out[: len(out) - n] |= np.where(front[: len(out) - n] & 511, tail[n:], 0)
+        return out
+
+    two = joined(symbols, 1, symbols, 1)
+    return joined(joined(two, 2, two, 2), 4, joined(two, 2, symbols, 1), 3)
+
+
+def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform of a shard: the byte before each suffix in their order, whether the suffix is a whole text (and so has none), and the number of its text.
+
+    The end of a text is less than any byte, and ends go by the number of their text, so the first rows are the ends."""
+    symbols, begins, end = slots_of(texts)
+    n = len(symbols)
+    key = first_symbols(symbols)
+    key[begins + np.array([len(t) for t in texts])] = np.arange(len(texts)) - len(texts)
+    order = np.argsort(key, kind="stable")
+    fresh = np.concatenate(([True], key[order[1:]] != key[order[:-1]])) if n else np.empty(0, bool)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    open_, depth = order[~(fresh & np.append(fresh[1:], True))], PACKED
+    while len(open_):
+        key = rank[open_] * n + rank[np.minimum(open_ + depth, end[open_])]
+        by = np.argsort(key)
+        open_, key = open_[by], key[by]
+        old, at = rank[open_], np.arange(len(open_))
+        spot = old + at - np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), at, 0))
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[open_] = np.maximum.accumulate(np.where(fresh, spot, 0))
+        open_, depth = open_[~(fresh & np.append(fresh[1:], True))], depth * 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    owner = np.searchsorted(begins, order, side="right") - 1
+    whole = order == begins[owner]
+    before = np.where(whole, 0, symbols[order - 1] - 1).astype(np.uint8) if n else np.empty(0, np.uint8)
+    return before, whole, owner
+
+
+def merged_repeats(before: np.ndarray, whole: np.ndarray, shard_rows: np.ndarray, shard_texts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(number of a text, position in it) of all strings of length bytes that start more than once in the texts of several shards.
+
+    before and whole are the shards' transforms one after another, shard_rows and shard_texts their numbers of rows and of texts, sizes those of the texts."""
+    n, texts = len(before), len(sizes)
+    shard = np.repeat(np.arange(len(shard_rows)), shard_rows)
+    row_base, text_base = np.cumsum(shard_rows) - shard_rows, np.cumsum(shard_texts) - shard_texts
+    end_row = np.arange(texts) + np.repeat(row_base - text_base, shard_texts)  # of the end of each text
+    is_end = np.zeros(n, bool)
+    is_end[end_row] = True
+    # from a row to that of the suffix one byte longer: rows of a shard by their byte, in order, are its rows that aren't ends
+    inner = np.flatnonzero(~whole)
+    back = np.full(n, -1, np.int64)
+    back[np.sort((shard[inner] << 8 | before[inner]) << 32 | inner) & 0xFFFFFFFF] = np.flatnonzero(~is_end)
+    # read the texts backward from their ends, all at once
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    by_size = np.argsort(-sizes, kind="stable")
+    row_at, symbols = np.empty(n, np.int32), np.zeros(n, np.int64)
+    rows, reach, falling = end_row[by_size], (begins + sizes)[by_size], -sizes[by_size]
+    for step in range(int(sizes.max(initial=-1)) + 1):
+        many = int(np.searchsorted(falling, -step, side="right"))
+        rows, reach = rows[:many], reach[:many]
+        row_at[reach - step] = rows
+        live = ~whole[rows]
+        symbols[(reach - step - 1)[live]] = before[rows[live]].astype(np.int64) + 1
+        rows = np.where(live, back[rows], 0)
+    slot = np.empty(n, np.int32)
+    slot[row_at] = np.arange(n, dtype=np.int32)
+    end = np.repeat(begins + sizes, sizes + 1)
+    # the interleave by the first symbol: each shard's rows come sorted, so this only merges them
+    first = min(PACKED, length)
+    key = (first_symbols(symbols) >> 9 * (PACKED - first))[slot]
+    at_pos = np.argsort(key, kind="stable").astype(np.int32)
+    key, short = key[at_pos], (end - np.arange(n))[slot[at_pos]] < first
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | short[1:] | short[:-1])) if n else np.empty(0, bool)
+    count = np.arange(n, dtype=np.int32)
+    pos, interval = np.empty(n, np.int32), np.empty(n, np.int32)
+    pos[at_pos] = count
+    interval[at_pos] = np.maximum.accumulate(np.where(fresh, count, 0))
+    open_, depth = at_pos[~(fresh & np.append(fresh[1:], True))], first
+    while depth < length and len(open_):
+        step = min(SYMBOL, depth, length - depth)  # the first symbol itself is put together from PACKED bytes
+        ordered = interval[open_].astype(np.int64) << 32 | pos[row_at[slot[open_] + step]]
+        ordered.sort()
+        old, after = (ordered >> 32).astype(np.int32), at_pos[ordered & 0xFFFFFFFF]
+        open_ = row_at[slot[after] - step]
+        begun = np.concatenate(([True], old[1:] != old[:-1]))
+        at = count[: len(open_)]
+        spot = old + at - np.maximum.accumulate(np.where(begun, at, 0))
+        parted = interval[after]
+        fresh = begun | np.concatenate(([True], parted[1:] != parted[:-1]))
+        pos[open_], at_pos[spot] = spot, open_
+        interval[open_] = np.maximum.accumulate(np.where(fresh, spot, 0))
+        open_, depth = open_[~(fresh & np.append(fresh[1:], True))], depth + step
+    found = np.sort(slot[open_])
+    owner = np.searchsorted(begins, found, side="right") - 1
+    return owner, found - begins[owner]
 
 
 def joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -181,9 +271,9 @@ def requests(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), zero.cast(pa.binary()), pa.array(key[at]), pa.array(ids[at]), pa.array(begin[at]), pa.array(n[at]), pa.array(np.full(len(at), WHOLE, np.int32)), zero.cast(pa.int64())], schema=schema)
             one = np.flatnonzero(first)
             rows = np.stack([mark[one].view(np.int64), whole[one].view(np.int64), key[one], ids[one], begin[one], n[one] << 2 | again[one] << 1 | (times > 1)], axis=1)
-            cuts = np.searchsorted(mark[one], (np.arange(places, dtype=object) * (1 << 64) // places).astype(np.uint64))
-            cuts = [*cuts.tolist(), len(one)]
-            packed = [(p, packing(rows[cuts[p] : cuts[p + 1]])) for p in range(places) if cuts[p + 1] > cuts[p]]
+            place = ((mark[one] >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.empty(0, np.int64)
+            packed = [(int(place[x]), packing(rows[x:y])) for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=True)]
             if packed:
                 nulls = [pa.nulls(len(packed)).cast(t) for t in ASK_KINDS]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary()), *nulls], schema=schema)
@@ -198,13 +288,16 @@ def requests(docs: DataFrame, length: int) -> DataFrame:
         many_here = np.bincount(kind)[kind] > 1
         flags = rows[:, 5] & 3
         before = np.bincount(kind, weights=flags & 1)[kind] > 0
-        shared = np.bincount(mark, weights=new_kind)[mark] > 1
+        kinds = np.bincount(mark, weights=new_kind)[mark]
+        shared = kinds > 1
         code = np.zeros(len(rows), np.int32)
         code[many_here & (flags & 1 == 0)] = WHOLE
         need = (shared | (flags > 1)) & ~many_here & ~before
         code[need] = NEED
         lend = shared & (many_here | before) & new_kind
-        out = [(rows[code > 0], code[code > 0]), (rows[lend], np.full(lend.sum(), LEND, np.int32))]
+        hot = np.where(kinds > HOT_KINDS, HOT, 0).astype(np.int32)
+        code[need] |= hot[need]
+        out = [(rows[code > 0], code[code > 0]), (rows[lend], LEND | hot[lend])]
         rows, code = np.concatenate([x for x, _ in out]), np.concatenate([c for _, c in out])
         return pa.table([pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4]), pa.array(rows[:, 5] >> 2), pa.array(code), pa.array(rows[:, 0])], names=ASK_NAMES)
 
@@ -236,29 +329,62 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = written(requests(docs, length), "requests")
     compare = asked.where(f"code <> {WHOLE}").groupBy("key", "id").agg(F.collect_list(F.struct("begin", "n", "code", "marker")).alias("asked"))
 
+    places = max(shuffle_partitions(spark), asked.where(f"code <> {WHOLE}").count() * 3 * length // (2 * MERGE_BYTES))
+    sent_kind = "place int, before binary, starts binary, texts binary"
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["marker", "key", "id", "begin", "n", "code", "shard"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        for part in slices(batches, 256):
-            rows = []
-            for key, i, text, asked in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        rows, texts, size = [], [], 0
+        for part in slices(batches, 64):
+            for key, i, text, asks in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 raw = text.encode()
-                rows += [(a["marker"], key, i, a["begin"], a["n"], a["code"], raw[a["begin"] : a["begin"] + a["n"] + length - 1]) for a in asked]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    sent = docs.join(compare, ["key", "id"]).select("key", "id", "text", "asked").mapInArrow(send, "marker long, key long, id long, begin long, n long, code int, shard binary")
-    places = max(shuffle_partitions(spark), asked.where(f"code <> {WHOLE}").count() * 3 * length // (2 * MERGE_BYTES))
-    sent = sent.withColumn("place", F.pmod(F.xxhash64("marker"), F.lit(places)).cast("int"))
+                for a in asks:
+                    piece = raw[a["begin"] : a["begin"] + a["n"] + length - 1]
+                    parts = [(a["marker"], 0, a["n"])]
+                    if a["code"] & HOT:
+                        found = segments(piece, np.array([len(piece)] * 2), length, min(LONG_MARKER, length))
+                        parts = list(zip(found[0].view(np.int64).tolist(), found[2].tolist(), found[3].tolist(), strict=True))
+                    for marker, at, n in parts:
+                        rows.append((marker, key, i, a["begin"] + at, a["code"] & ~HOT))
+                        texts.append(piece[at : at + n + length - 1])
+                        size += len(texts[-1])
+                        if size >= SHARD_BYTES:
+                            yield shard(rows, texts)
+                            rows, texts, size = [], [], 0
+        if rows:
+            yield shard(rows, texts)
+
+    def shard(rows: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
+        """The shard's transform, split by place."""
+        known = np.array(rows, np.int64)
+        place = (mixed(known[:, 0].view(np.uint64)) % np.uint64(places)).astype(np.int64)
+        before, whole, owner = transform(texts)
+        by = np.argsort(place[owner], kind="stable")
+        before, whole, at = before[by], whole[by], place[owner[by]]
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))), len(at))
+        starts, by_text = np.flatnonzero(whole), np.argsort(place, kind="stable")
+        known = np.concatenate([known[:, 1:], np.array([[len(t)] for t in texts])], axis=1)[by_text]
+        text_cuts = np.append(np.flatnonzero(np.concatenate(([True], place[by_text][1:] != place[by_text][:-1]))), len(place))
+        made = [
+            (int(at[a]), before[a:b].tobytes(), (starts[c:d] - a).astype(np.int32).tobytes(), known[c:d].tobytes())
+            for (a, b), (c, d) in zip(itertools.pairwise(cuts.tolist()), itertools.pairwise(text_cuts.tolist()), strict=True)
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["place", "before", "starts", "texts"])
+
+    sent = docs.join(compare, ["key", "id"]).select("key", "id", "text", "asked").mapInArrow(send, sent_kind)
 
     def merge(table: pa.Table) -> pa.Table:
-        shards = table.column("shard").to_pylist()
-        code, key, i, begin = (table.column(c).to_numpy() for c in ("code", "key", "id", "begin"))
-        out = []
-        for k, found in enumerate(repeated_positions(shards, length)):
-            if code[k] == NEED:
-                out += [(key[k], i[k], begin[k] + a, begin[k] + b) for a, b in runs_of(found, length)]
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["key", "id", "begin", "end"])
+        before, starts, texts = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("before", np.uint8), ("starts", np.int32), ("texts", np.int64)))
+        shard_rows, shard_texts = np.array([len(x) for x in before]), np.array([len(x) for x in starts])
+        known = np.concatenate(texts).reshape(-1, 5)
+        whole = np.zeros(shard_rows.sum(), bool)
+        whole[np.concatenate(starts) + np.repeat(np.cumsum(shard_rows) - shard_rows, shard_texts)] = True
+        owner, found = merged_repeats(np.concatenate(before), whole, shard_rows, shard_texts, known[:, 4], length)
+        asked = known[owner, 3] == NEED
+        owner, found = owner[asked], found[asked]
+        first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (found[1:] - found[:-1] > length))) if len(owner) else np.empty(0, bool)
+        last = np.append(first[1:], True) if len(owner) else first
+        who = known[owner[first]]
+        return pa.table([pa.array(x) for x in (who[:, 0], who[:, 1], who[:, 2] + found[first], who[:, 2] + found[last] + length)], names=["key", "id", "begin", "end"])
 
     compared = sent.groupBy("place").applyInArrow(merge, "key long, id long, begin long, end long")
     whole = asked.where(f"code = {WHOLE}").select("key", "id", "begin", (F.col("begin") + F.col("n") + F.lit(length - 1)).alias("end"))

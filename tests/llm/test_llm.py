@@ -222,13 +222,71 @@ def test_toxicity(spark):
     table = docs(spark, [*texts, None, ""])
     labels = spark.createDataFrame([*[(i, int(f)) for i, f in enumerate(flags[:300])], (None, 1), (7, None), (9999, 1)], "doc_id long, toxic int")
     model = toxicity.train(table, labels)
-    assert model.thresholds == sorted(model.thresholds) and len(model.thresholds) == 2
+    assert len(model.thresholds) == 1  # the labels hold two grades
     graded = {r.doc_id: r.toxicity for r in toxicity.grade(table, model).collect()}
     assert sum(graded[i].toxic == f for i, f in enumerate(flags) if i >= 300) >= 98
     assert not graded[400].toxic and not graded[401].toxic
     assert toxicity.grade(table, toxicity.train(table, labels.limit(0))).where("toxicity.toxic").count() == 0
 
 
+def test_ordered_thresholds_are_the_likelihoods_own():
+    """Three grades from a latent score: no step away from the fitted weights and thresholds makes the labels likelier."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2, (4000, 6))
+    latent = x @ np.array([1.6, 1.2, 0.9, -1.1, -1.4, 1.0]) + rng.logistic(size=4000)
+    grades = (latent > 1.0).astype(int) + (latent > 2.5) + (latent > 4.0)
+    model = toxicity.fit([np.flatnonzero(r) + 100 for r in x], grades, rounds=1200, l1=0.0)
+    assert model.thresholds == sorted(model.thresholds) and len(model.thresholds) == 3
+    names = sorted(model.weights)
+
+    def loss(w, t):
+        score = x[:, [k - 100 for k in names]] @ w
+        below = np.concatenate([np.zeros((4000, 1)), 1 / (1 + np.exp(score[:, None] - t)), np.ones((4000, 1))], axis=1)
+        rows = np.arange(4000)
+        return -np.log(below[rows, grades + 1] - below[rows, grades]).mean()
+
+    w, t = np.array([model.weights[k] for k in names]), np.array(model.thresholds)
+    for k in range(len(w) + 3):
+        for step in (0.1, -0.1):
+            move = np.eye(len(w) + 3)[k] * step
+            assert loss(w + move[: len(w)], t + move[len(w) :]) > loss(w, t)
+    assert np.abs(t - [1.0, 2.5, 4.0]).max() < 0.4
+    severity = sum(model.above(2.0))
+    assert 0 < severity < 3 and abs(severity - sum(1 / (1 + np.exp(t - 2.0)))) < 1e-9
+
+
+def test_toxicity_with_clashing_names(spark):
+    table = spark.createDataFrame([(i, "vile scum talk" if i % 2 else "kind calm talk", "a", "b") for i in range(60)], "doc_id long, text string, toxicity string, Toxicity_ string")
+    model = toxicity.train(table, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    assert toxicity.grade(table, model).columns == [*table.columns, "toxicity__"]
+    clean = toxicity.without_toxic(table, model)
+    assert clean.columns == table.columns and sorted(r[0] for r in clean.collect()) == list(range(0, 60, 2))
+
+
+def test_long_texts_without_ascii(spark):
+    """Time in proportion to the length, with and without stable places, and the library's own counts."""
+    import time
+
+    coder = tokens.encoder()
+    rng = random.Random(3)
+    line = lambda n: "".join(chr(rng.randint(0x4E00, 0x5000)) for _ in range(n))
+    for make in (lambda n: "".join(line(30) + rng.choice("。\n，！") for _ in range(n)), lambda n: "".join(line(30) + "。\n" for _ in range(n)), lambda n: "".join(f"Привет {line(9)}\t" for _ in range(n * 2))):
+        text = make(3000)
+        assert np.concatenate(list(coder.pieces(text))).tolist() == coder.slow.encode(text, add_special_tokens=False).ids
+        for chunk, overlap in ((200, 16), (3000, 64)):
+            part = text[:4000]
+            assert np.concatenate(list(tokens.spliced(part.encode(), coder.ids, coder.lengths, chunk, overlap))).tolist() == coder.slow.encode(part, add_special_tokens=False).ids
+    solid = line(20_000)
+    assert sum(map(len, coder.pieces(solid))) == len(coder.slow.encode(solid, add_special_tokens=False).ids)
+    texts = [make(8000), make(32_000)]
+    took = []
+    for text in texts:
+        began = time.time()
+        sum(map(len, coder.pieces(text)))
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "b"), (2, 0, "system", "x"), (None, 0, "ann", "q"), (3, None, None, "t")], "conv_id long, turn long, role string, text string")
     made = {(r.conv_id, r.speaker): r for r in chat.rotate(turns).collect()}
@@ -236,6 +294,8 @@ def test_chat(spark):
     ann = made[1, "ann"]
     assert ann.labels == [0, 1, 1, 0] and [ann.rendered[s.begin : s.end] for s in ann.spans] == ["hi", "b"]
     assert "user name=bob" in ann.rendered and made[1, "bob"].labels == [0, 0, 0, 1]
+    for r in made.values():
+        assert [r.rendered[s.begin : s.end] for s in r.spans] == [{"ann": ["hi", "b"], "bob": [""], "unknown": ["t"]}[r.speaker][k] for k in range(sum(r.labels))]
 
 
 def test_minhash_of_a_large_family(spark):
@@ -263,3 +323,37 @@ def test_one_document_of_a_group_stays_whole(spark):
     table = spark.createDataFrame([(1, texts[0], 1), (1, texts[1], 2), (1, texts[1], 3), (3, texts[2], 4), (4, texts[3], 5), (None, texts[3], 6)], "doc_id long, text string, DOC_ID int")
     kept = sorted((str(r[0]), r[1]) for r in minhash.keep_one(table).collect())
     assert kept == sorted([("1", texts[0]), ("1", texts[1]), ("3", texts[2]), ("None", texts[3])])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merged_transforms_find_what_brute_force_finds(seed):
+    rng = random.Random(seed)
+    shared = [bytes(rng.choice(b"ab\x00\xff") for _ in range(40)) for _ in range(3)]
+    shards = [[b"".join(rng.choice([*shared, bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 30)))]) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 6))] for _ in range(4)]
+    shards.append([b"a" * 100, b"", b"a" * 99])
+    made = [suffixes.transform(texts) for texts in shards]
+    for texts, (before, whole, owner) in zip(shards, made, strict=True):
+        rows = sorted((t[k:] + b"", i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
+        assert [i for _, i, _ in rows] == owner.tolist() and [k == 0 for *_, k in rows] == whole.tolist()
+        assert all(w or texts[i][k - 1] == b for (_, i, k), w, b in zip(rows, whole, before, strict=True))
+    texts = [t for s in shards for t in s]
+    for length in (5, 7, 20, 33):
+        spots = {}
+        for i, t in enumerate(texts):
+            for k in range(len(t) - length + 1):
+                spots.setdefault(t[k : k + length], []).append((i, k))
+        want = sorted(x for v in spots.values() if len(v) > 1 for x in v)
+        owner, at = suffixes.merged_repeats(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), np.array([len(m[0]) for m in made]), np.array([len(s) for s in shards]), np.array([len(t) for t in texts]), length)
+        assert list(zip(owner.tolist(), at.tolist(), strict=True)) == want
+
+
+def test_suffixes_with_hot_markers(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = sentence(rng, 30)[:150]
+    texts = [sentence(rng, 30) + passage + sentence(rng, 30)[: rng.randint(1, 90)] for _ in range(30)]
+    texts += [sentence(rng, 3) + texts[k % 30][100:-20] for k in range(20)] + ["ab" * 9000, "x" + "ab" * 5000]
+    monkeypatch.setattr(suffixes, "HOT_KINDS", 3)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 2000)
+    gone = windows(texts)
+    made = {r.doc_id: r for r in suffixes.digest(docs(spark, texts)).collect()}
+    assert [made[i].n_removed for i in range(len(texts))] == [len(gone.get(i, ())) for i in range(len(texts))]
