@@ -8,8 +8,11 @@ are verified by their cosine in double precision.
 
 Equal vectors become one class, aggregated before the shuffle. Classes are sorted by one more projection and dealt out in
 blocks; a block meets only those whose range touches its window, ``SORT_SPREAD`` times the spread, which no pair that
-counts leaves but for one in millions. Within two blocks collisions are counted for all pairs at once, as arrays: no pair
-becomes a row. What leaves a task is each class's number of links and a forest of them.
+counts leaves but for one in millions. Blocks meet twice. First only their projections do: each line of either block is
+sorted, each vector's window is a stretch of the other's order, and a pair collides on a line if the one's rank lies in the
+other's stretch. Pairs that can't reach the count any more are dropped after ``FIRST`` lines. What leaves a task are the
+numbers of the rows that have a candidate at all. Then just the vectors of these rows meet, and candidates are verified.
+No pair becomes a row; a second task sends each class's number of links and a forest of them.
 
 Null ids, null vectors, and vectors that are zero, empty or hold a null or non-finite component link with nothing: n_links
 is 0, component_id the own id. Vectors of different dimensions don't link. Each input row gives one row; rows that repeat
@@ -28,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parqsieve.llm.common import pick, read_table, written
+from parqsieve.llm.common import join_hot, pick, read_table, written
 from parqsieve.llm.components import Sets, components
 
 COSINE = 0.95
 LINES = 24
+FIRST = 16
 SPREAD = 3.0
 SORT_SPREAD = 5.5
 MISS = 1e-6
-TILE = 512
+TILE, WIDE = 512, 2048
 BLOCK_BYTES = 1 << 22
 TASK_PAIRS, TASK_BYTES = 1 << 25, 1 << 25
 
@@ -63,29 +67,52 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def compare(left: np.ndarray, right: np.ndarray, same: bool, cosine: float = COSINE, lines: int = LINES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in left, in right) of linked pairs, tile by tile; of one block with itself, each pair once."""
-    dimension = left.shape[1]
-    width = SPREAD * math.sqrt(2 - 2 * cosine) / math.sqrt(dimension)
-    scale, need = min(2000 / width, 16000.0), least_count(lines)
-    step = int(math.ceil(width * scale)) + 1
-    lefts, rights = (np.rint(x @ directions(dimension, lines)[:, :-1] * scale).astype(np.int16).T.copy() for x in (left, right))
-    for a in range(0, len(left), TILE):
-        for b in range(a if same else 0, len(right), TILE):
-            count = np.zeros((min(TILE, len(left) - a), min(TILE, len(right) - b)), np.uint8)
-            for k in range(lines):
-                apart = (lefts[k, a : a + TILE, None] + np.int16(step)) - rights[k, None, b : b + TILE]
-                count += apart.view(np.uint16) <= np.uint16(2 * step)
-            x, y = np.nonzero(count >= need)
-            if same and a == b:
-                x, y = x[x < y], y[x < y]
-            if not len(x):
-                continue
-            if len(x) * 16 > count.size:
-                close = (left[a : a + TILE] @ right[b : b + TILE].T)[x, y] >= cosine
-            else:
-                close = np.einsum("ij,ij->i", left[a + x], right[b + y]) >= cosine
-            yield a + x[close], b + y[close]
+def windows(queries: np.ndarray, points: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By line (rows): the points' ranks in their order, and for each query the first rank in its window and the number of ranks there."""
+    order = np.argsort(points, axis=1, kind="stable")
+    ranks = np.empty_like(order)
+    np.put_along_axis(ranks, order, np.arange(points.shape[1])[None, :].repeat(len(points), 0), axis=1)
+    ordered = np.take_along_axis(points, order, axis=1)
+    low = np.stack([np.searchsorted(o, q - width, "left") for o, q in zip(ordered, queries, strict=True)])
+    high = np.stack([np.searchsorted(o, q + width, "right") for o, q in zip(ordered, queries, strict=True)])
+    return tuple(x.astype(np.uint16) for x in (ranks, low, high - low))
+
+
+def candidates(left: np.ndarray, right: np.ndarray, same: bool, dimension: int, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in left, in right) of pairs with enough collisions, tile by tile, from projections (lines by vectors); of one block with itself, each pair once."""
+    lines = len(left)
+    width = SPREAD * math.sqrt(2 - 2 * cosine) / math.sqrt(dimension) * (1 + 1e-4) + 1e-6  # projections come in single precision
+    need, first = least_count(lines), min(FIRST, lines)
+    for b in range(0, right.shape[1], WIDE):
+        ranks, low, many = windows(left, right[:, b : b + WIDE], width)
+        for a in range(0, min(left.shape[1], b + WIDE) if same else left.shape[1], TILE):
+            count = np.zeros((min(TILE, left.shape[1] - a), ranks.shape[1]), np.uint8)
+            for k in range(first):
+                count += (ranks[k, None, :] - low[k, a : a + TILE, None]) < many[k, a : a + TILE, None]
+            x, y = np.nonzero(count >= max(0, need - (lines - first)))
+            if same and a + TILE > b:
+                once = a + x < b + y
+                x, y = x[once], y[once]
+            total = count[x, y].astype(np.int64)
+            for k in range(first, lines):
+                total += (ranks[k, y] - low[k, a + x]) < many[k, a + x]
+            x, y = x[total >= need], y[total >= need]
+            if len(x):
+                yield a + x, b + y
+
+
+def compare(left: np.ndarray, right: np.ndarray, same: bool, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in left, in right) of linked pairs of unit vectors: candidates, verified."""
+    for x, y in candidates(projected(left), projected(right), same, left.shape[1], cosine):
+        for at in range(0, len(x), 1 << 15):
+            u, v = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+            close = np.einsum("ij,ij->i", left[u], right[v]) >= cosine
+            yield u[close], v[close]
+
+
+def projected(vectors: np.ndarray) -> np.ndarray:
+    """LINES projections of unit vectors: lines by vectors."""
+    return np.ascontiguousarray((vectors @ directions(vectors.shape[1])[:, :-1]).T.astype(np.float32))
 
 
 def meetings(ends: list, reach: float) -> tuple[list[tuple[int, int, int]], int]:
@@ -99,7 +126,7 @@ def meetings(ends: list, reach: float) -> tuple[list[tuple[int, int, int]], int]
         last = max(k, bisect.bisect_right(keys, (e.dimension, e.high + reach / math.sqrt(e.dimension))) - 1)
         met, number = sums[last + 1] - sums[k], last + 1 - k
         spans.append((k, e.block, last))
-        pairs, size, count = pairs + e.n * met, size + (e.n * number + met) * (8 * e.dimension + 16), count + number
+        pairs, size, count = pairs + e.n * met, size + (e.n * number + met) * 4 * LINES, count + number
     return spans, max(1, min(count, max(-(-pairs // TASK_PAIRS), -(-size // TASK_BYTES))))
 
 
@@ -126,11 +153,11 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int | None = None) -
         from pyspark import TaskContext
 
         base, number, rows = TaskContext.get().partitionId() << 32, 0, []
-        schema = pa.schema([("block", pa.int64()), ("dimension", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("reps", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())])
+        schema = pa.schema([("block", pa.int64()), ("dimension", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("reps", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("lines", pa.binary())])
 
         def made() -> pa.RecordBatch:
             whole = np.array([r[0] for r in rows], np.float64)
-            return pa.RecordBatch.from_pylist([{"block": base + number, "dimension": rows[0][3], "low": rows[0][4], "high": rows[-1][4], "reps": np.array([r[1] for r in rows], np.int64).tobytes(), "copies": np.array([r[2] for r in rows], np.int64).tobytes(), "vectors": whole.tobytes()}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"block": base + number, "dimension": rows[0][3], "low": rows[0][4], "high": rows[-1][4], "reps": np.array([r[1] for r in rows], np.int64).tobytes(), "copies": np.array([r[2] for r in rows], np.int64).tobytes(), "vectors": whole.tobytes(), "lines": projected(unit(whole)).tobytes()}], schema=schema)
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -142,41 +169,60 @@ def link(vectors: DataFrame, cosine: float = COSINE, block: int | None = None) -
             yield made()
 
     parts = max(1, n // size)
-    blocks = written(placed.repartitionByRange(parts, "dimension", "at").sortWithinPartitions("dimension", "at").mapInArrow(gather, "block long, dimension int, low double, high double, reps binary, copies binary, vectors binary"), "blocks")
+    blocks = written(placed.repartitionByRange(parts, "dimension", "at").sortWithinPartitions("dimension", "at").mapInArrow(gather, "block long, dimension int, low double, high double, reps binary, copies binary, vectors binary, lines binary"), "blocks")
     reach = SORT_SPREAD * math.sqrt(2 - 2 * cosine)
     ends = blocks.select("dimension", "low", "block", "high", (F.length("reps") / 8).cast("long").alias("n")).orderBy("dimension", "low", "block").collect()  # a row for each block of vectors
     spans, tasks = meetings(ends, reach)
     spark = vectors.sparkSession
-    out = "rep long, links long, a long, b long"
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                i, j, d, ri, ci, vi, rj, cj, vj = (c[at].as_py() for c in batch.columns)
-                ri, ci, rj, cj = (np.frombuffer(x, np.int64) for x in (ri, ci, rj, cj))
-                left, right = (unit(np.frombuffer(x, np.float64).reshape(-1, d)) for x in (vi, vj))
-                same = i == j
-                li, lj, sets, edges = np.zeros(len(ri), np.int64), np.zeros(len(rj), np.int64), Sets(len(ri) + len(rj)), []
-                for x, y in compare(left, right, same, cosine):
-                    np.add.at(li, x, cj[y])
-                    np.add.at(lj, y, ci[x])
-                    for a, b in zip(x.tolist(), (y if same else y + len(ri)).tolist(), strict=True):
-                        if sets.join(a, b):
-                            edges.append((int(ri[a]), int(ri[b] if same else rj[b - len(ri)])))
-                rows = [(int(r), int(k), None, None) for r, k in [*zip(ri, li, strict=True), *zip(rj, lj, strict=True)] if k] + [(None, None, a, b) for a, b in edges]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["rep", "links", "a", "b"])
+                i, j, d, li, lj = (c[at].as_py() for c in batch.columns)
+                li, lj = (np.frombuffer(x, np.float32).reshape(LINES, -1) for x in (li, lj))
+                mine, other = np.zeros(li.shape[1], bool), np.zeros(lj.shape[1], bool)
+                for x, y in candidates(li, lj, i == j, d, cosine):
+                    mine[x], other[y] = True, True
+                if mine.any():
+                    if i == j:
+                        mine |= other
+                    sides = [(i, 0, mine)] if i == j else [(i, 0, mine), (j, 1, other)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(i, j, side, of, np.flatnonzero(rows).astype(np.int32).tobytes()) for of, side, rows in sides], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["i", "j", "side", "block", "rows"])
+
+    def chosen(_: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        d = held.column("dimension")[0].as_py()
+        parts = [np.frombuffer(held.column(c)[0].as_py(), t) for c, t in (("reps", np.int64), ("copies", np.int64), ("vectors", np.float64))]
+        wanted = [np.frombuffer(x, np.int32) for x in asked.column("rows").to_pylist()]
+        columns = [[x.reshape(-1, d)[w].tobytes() if x is parts[2] else x[w].tobytes() for w in wanted] for x in parts]
+        return pa.table([asked.column("i"), asked.column("j"), asked.column("side"), pa.array([d] * len(wanted), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["i", "j", "side", "d", "reps", "copies", "vectors"])
+
+    def meet(sides: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(sides.column(c).to_pylist() for c in ("side", "d", "reps", "copies", "vectors")), strict=True))
+        same = len(rows) == 1
+        (ri, ci, left), (rj, cj, right) = ((np.frombuffer(r, np.int64), np.frombuffer(c, np.int64), unit(np.frombuffer(v, np.float64).reshape(-1, d))) for _, d, r, c, v in (rows[0], rows[-1]))
+        li, lj, sets, edges = np.zeros(len(ri), np.int64), np.zeros(len(rj), np.int64), Sets(len(ri) + len(rj)), []
+        for x, y in compare(left, right, same, cosine):
+            np.add.at(li, x, cj[y])
+            np.add.at(lj, y, ci[x])
+            for a, b in zip(x.tolist(), (y if same else y + len(ri)).tolist(), strict=True):
+                if sets.join(a, b):
+                    edges.append((int(ri[a]), int(ri[b] if same else rj[b - len(ri)])))
+        out = [(int(r), int(k), None, None) for r, k in [*zip(ri, li, strict=True), *zip(rj, lj, strict=True)] if k] + [(None, None, a, b) for a, b in edges]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["rep", "links", "a", "b"])
 
     order = spark.createDataFrame(spans or [(-1, -1, -1)], "k long, i long, last long")
     pairs = order.select("i", F.explode(F.sequence("k", "last")).alias("k")).join(order.select("k", F.col("i").alias("j")), "k").select("i", "j")
-    first = blocks.select(F.col("block").alias("i"), F.col("dimension").alias("d"), F.col("reps").alias("ri"), F.col("copies").alias("ci"), F.col("vectors").alias("vi"))
-    second = blocks.select(F.col("block").alias("j"), F.col("reps").alias("rj"), F.col("copies").alias("cj"), F.col("vectors").alias("vj"))
-    met = pairs.join(first, "i").join(second, "j").select("i", "j", "d", "ri", "ci", "vi", "rj", "cj", "vj")
-    found = written(met.repartition(tasks, "i", "j").mapInArrow(meet, out), "links")
+    first = blocks.select(F.col("block").alias("i"), F.col("dimension").alias("d"), F.col("lines").alias("li"))
+    second = blocks.select(F.col("block").alias("j"), F.col("lines").alias("lj"))
+    met = pairs.join(first, "i").join(second, "j").select("i", "j", "d", "li", "lj")
+    rows = written(met.repartition(tasks, "i", "j").mapInArrow(count, "i long, j long, side int, block long, rows binary"), "candidates")
+    some = rows.groupBy("block").cogroup(blocks.join(rows.select("block").distinct(), "block", "left_semi").select("block", "dimension", "reps", "copies", "vectors").groupBy("block"))
+    taken = some.applyInArrow(chosen, "i long, j long, side int, d int, reps binary, copies binary, vectors binary")
+    found = written(taken.groupBy("i", "j").applyInArrow(meet, "rep long, links long, a long, b long"), "links")
     totals = found.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.where("a is not null").select("a", "b"), "vector-groups")
-    per_class = classes.join(totals, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(per_class, "embedding").select("vec_id", "n_links", "component_id")
+    per_class = classes.join(totals, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("embedding", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = join_hot(good, per_class, ["embedding"], "copies", good.count()).select("vec_id", "n_links", "component_id")
     alone = vectors.where(~F.coalesce(valid, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
