@@ -5,9 +5,9 @@ text, each word and each prefix of 4 to 6 letters (prefixes catch the inflected
 
 Training: at most ``SAMPLE`` labelled documents of each label, chosen by a hash of doc_id, are read; that is the bound of
 the sample, and the model never sees more. Features are kept that lean to either label by ``LEAN`` standard deviations,
-and L1 sets the weights of the others to zero. Labels say toxic or not; severity grades come from the column ``severity``
-if labels have it, else a toxic document has grade 1 up to 2, grade 2 up to 4 and grade 3 from 5 distinct marker words
-(words that are found in at least 3 sampled toxic documents and at least 50 times as often in those as in others).
+and L1 sets the weights of the others to zero. The grades are those of the column ``severity`` if labels have it: as many
+ordered thresholds as the highest grade. Labels that only say toxic or not hold two grades, 0 and 1, and no finer
+severity can be learnt from them: there is one threshold then, and the expected severity is the probability of toxic.
 
 Null and empty texts have no features and score as such. Labels with null id or flag are left out; of several labels of a
 document the highest counts. Without documents of both labels, severity is 0 and nothing is rejected.
@@ -150,31 +150,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     counts = one("words").unionByName(one("prefixes")).groupBy("kind", "feature").agg(F.sum("toxic").alias("inside"), F.sum(1 - F.col("toxic")).alias("outside"))
     share = (F.col("inside") + F.col("outside")) / (n1 + n0)
     leans = F.abs(F.col("inside") / n1 - F.col("outside") / n0) >= LEAN * F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    marks = (F.col("kind") == "words") & (F.col("inside") >= 3) & (F.col("inside") / n1 >= 50 * F.col("outside") / n0)
-    chosen_features = counts.where(leans | marks).select("feature", leans.alias("leans"), marks.alias("marks")).collect()  # of the sample, so bounded with it
-    held = spark.sparkContext.broadcast(({r.feature for r in chosen_features if r.leans}, {r.feature for r in chosen_features if r.marks}))
+    held = spark.sparkContext.broadcast({r.feature for r in counts.where(leans).select("feature").collect()})  # of the sample, so bounded with it
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, mark = held.value
+        use = held.value
         for part in slices(batches):
             words, prefixes = part.column(2).to_pylist(), part.column(3).to_pylist()
             kept = [[f for f in (*w, *p) if f in use] for w, p in zip(words, prefixes, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sum(f in mark for f in w) for w in words], pa.int32()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "grade", "marks", "features"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "grade", "features"])
 
-    small = rows.mapInArrow(reduce, "doc_id long, grade int, marks int, features array<long>").toArrow().sort_by([("doc_id", "ascending")])
+    small = rows.mapInArrow(reduce, "doc_id long, grade int, features array<long>").toArrow().sort_by([("doc_id", "ascending")])
     grades = np.maximum(small.column("grade").to_numpy().astype(np.int64), 0)
-    if column == "toxic":
-        n = small.column("marks").to_numpy()
-        grades = np.where(grades > 0, 1 + (n >= 3) + (n >= 5), 0)
     return fit([np.asarray(x.values) for x in small.column("features")], grades)
 
 
+GRADED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
+
+
 def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """docs, all columns, and their struct ``toxicity``: score, severity (expected), grade (with even odds or more to be reached), toxic (grade above 0)."""
+    """docs, all columns, and as its last one a struct: score, severity (expected), grade (with even odds or more to be reached), toxic (grade above 0).
+
+    The last column is named toxicity, with as many underscores behind as it takes to clash with no other name."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # at most as many weights as the sample has features
-    if "toxicity" in docs.columns:
-        raise ValueError("docs already have a column toxicity")
-    place = docs.columns.index("text")
+    place, name = docs.columns.index("text"), "toxicity"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     out = pa.struct([("score", pa.float64()), ("severity", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +188,14 @@ def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
                 rows.append({"score": s, "severity": float(sum(p)), "grade": g, "toxic": g > 0})
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, out)], names=[*part.schema.names, f"_c{part.num_columns}"])
 
-    kind = T._parse_datatype_string("struct<score:double,severity:double,grade:int,toxic:boolean>")
-    return map_rows(docs, run, T.StructField("toxicity", kind))
+    return map_rows(docs, run, T.StructField(name, GRADED))
+
+
+def without_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """docs, all columns, without the rows that are toxic; columns go by place, so any names do."""
+    names = docs.columns
+    graded = grade(docs, model).toDF(*[f"_c{i}" for i in range(len(names))], "_toxicity")
+    return graded.where(~F.col("_toxicity.toxic")).drop("_toxicity").toDF(*names)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
