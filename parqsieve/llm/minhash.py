@@ -204,10 +204,11 @@ def tasks_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[t
         yield key, (r[n_keys:] for r in group)
 
 
-def confirmed(docs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
-    """a, b: forests of the links within each group of dealt (group columns component, i, j; doc_id, asking, h1, u, v), whose texts are read from docs."""
-    # by shuffle at every size: members grow with the corpus, so the plan mustn't turn on whether they happen to be few
-    read = docs.join(dealt.hint("shuffle_hash"), "doc_id").select("component", "i", "j", "doc_id", "asking", "h1", "u", "v", "text")
+GROUPED = ("component", "i", "j", "doc_id", "asking", "h1", "u", "v", "text")
+
+
+def confirmed(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: forests of the links within each group (component, i, j) of GROUPED rows, of which at least one end is asking."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -222,7 +223,7 @@ def confirmed(docs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    shuffled = read.repartition(shuffle_partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    shuffled = rows.select(*GROUPED).repartition(shuffle_partitions(rows.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
     return shuffled.mapInArrow(confirm, "a long, b long")
 
 
@@ -235,31 +236,33 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     found = components(written(candidate_edges(classes, classes.count()), "candidates"), "families")
     members = written(found.join(classes.select(F.col("rep").alias("node"), "n_shingles", "h1", "u", "v"), "node").select("component", F.col("node").alias("doc_id"), "n_shingles", "h1", "u", "v"), "families")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sizes = written(sizes, "family-sizes")
-    small = members.join(sizes.where("blocks = 1").select("component"), "component").select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", F.lit(True).alias("asking"), "h1", "u", "v")
-    links = confirmed(docs, small, percent)
-
-    large = sizes.where("blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # a row for each block of classes
-    if not large.isEmpty():
-        in_large = members.join(sizes.where("blocks > 1"), "component")
-        own = written(in_large.withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).drop("n_shingles"), "family-blocks")
-        texts = written(docs.join(own.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "family-texts")
-        by_hash = Window.partitionBy("component").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-        first = own.withColumn("of", F.row_number().over(Window.partitionBy("component", "i").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))).where(F.col("of") <= PIVOTS)  # of each block, then of these
-        pivots = written(first.withColumn("of", F.row_number().over(by_hash)).where(F.col("of") <= PIVOTS).select("component", "doc_id", "h1", "u", "v"), "pivots")
-        columns = ["component", "i", "j", "doc_id", "asking", "h1", "u", "v"]
-        to_blocks = pivots.join(large.select("component", "i"), "component").select("component", "i", F.lit(0).alias("j"), "doc_id", F.lit(True).alias("asking"), "h1", "u", "v")
-        once = written(confirmed(texts, own.select("component", "i", F.lit(0).alias("j"), "doc_id", F.lit(False).alias("asking"), "h1", "u", "v").unionByName(to_blocks), percent), "pivot-links")
+    dealt = members.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).select("component", "blocks", "i", "doc_id", "h1", "u", "v")
+    order = [F.xxhash64("doc_id", F.lit(7)), "doc_id"]
+    large = dealt.where("blocks > 1")
+    of_blocks = large.select("component", "i", "doc_id").withColumn("of", F.row_number().over(Window.partitionBy("component", "i").orderBy(*order))).where(F.col("of") <= PIVOTS)
+    pivots = of_blocks.withColumn("of", F.row_number().over(Window.partitionBy("component").orderBy(*order))).where(F.col("of") <= PIVOTS).select("doc_id").distinct().withColumn("pivot", F.lit(True))
+    dealt = written(dealt.join(pivots, "doc_id", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "family-blocks")
+    # by shuffle at every size: members grow with the corpus, so the plan mustn't turn on whether they happen to be few
+    texts = written(docs.join(dealt.hint("shuffle_hash"), "doc_id"), "family-texts").withColumns({"j": F.lit(0), "asking": F.lit(True)})
+    links = confirmed(texts.where("blocks = 1"), percent)
+    if not dealt.where("blocks > 1").isEmpty():
+        large = dealt.where("blocks > 1")
+        every = texts.where("blocks > 1")
+        to_blocks = every.where("pivot").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        once = written(confirmed(every.withColumn("asking", F.lit(False)).select(*GROUPED).unionByName(to_blocks.select(*GROUPED)), percent), "pivot-links")
+        links = links.unionByName(once)
         reached = components(once, "pivot-groups").select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
-        parts = own.select("component", "doc_id").join(reached, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-        counted = parts.groupBy("component", "part").agg(F.count("*").alias("n"))
-        largest = counted.groupBy("component").agg(F.max(F.struct("n", "part")).alias("most")).select("component", F.col("most.part").alias("main"))
-        left = written(own.join(parts.join(largest, "component").where("part <> main").select("doc_id"), "doc_id"), "stragglers")
-        left_blocks = left.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("left_blocks"))
-        asking = left.join(left_blocks, "component").withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(1)), "left_blocks").cast("int"))
-        to_left = asking.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asking", F.lit(True)).select(*columns)
-        answering = own.join(left_blocks, "component").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1))).withColumn("asking", F.lit(False)).select(*columns)
-        links = links.unionByName(once).unionByName(confirmed(texts, to_left.unionByName(answering), percent))
+        parts = large.select("component", "doc_id").distinct().join(reached, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        largest = parts.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "part")).alias("most")).select("component", F.col("most.part").alias("main"))
+        left = written(parts.join(largest, "component").where("part <> main").select("component", "doc_id"), "stragglers")
+        if not left.isEmpty():
+            left_blocks = left.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("left_blocks"))
+            of = F.pmod(F.xxhash64("doc_id", F.lit(1)), "left_blocks").cast("int")
+            ids = large.select("component", "doc_id").distinct().join(left_blocks, "component").join(left.select("doc_id", F.lit(True).alias("left")), "doc_id", "left").select("doc_id", "left_blocks", F.when(F.col("left"), of).alias("of"))
+            again = written(every.drop("i", "j", "asking").join(ids.hint("shuffle_hash"), "doc_id"), "straggler-texts").withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+            answering = again.withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)), "asking": F.lit(False)})
+            asking = again.where("of is not null").withColumns({"j": F.col("of"), "i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asking": F.lit(True)})
+            links = links.unionByName(confirmed(answering.select(*GROUPED).unionByName(asking.select(*GROUPED)), percent))
 
     equal = join_hot(some.select("doc_id", "h1", "h2", "n_shingles"), classes.select("h1", "h2", "n_shingles", "rep", "copies"), ["h1", "h2", "n_shingles"], "copies", some.count())
     found = components(links.unionByName(equal.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "groups")
