@@ -357,3 +357,57 @@ def test_suffixes_with_hot_markers(spark, monkeypatch):
     gone = windows(texts)
     made = {r.doc_id: r for r in suffixes.digest(docs(spark, texts)).collect()}
     assert [made[i].n_removed for i in range(len(texts))] == [len(gone.get(i, ())) for i in range(len(texts))]
+
+
+P = "The committee met on Tuesday to discuss the plans for the new bridge, which has been delayed twice since the spring. "
+Q = "Several members said that the costs had risen, and that a decision could not wait any longer than the autumn. "
+R = "Nobody knows when the work will begin, but most expect that it will be after the winter. "
+HAND_MADE = [
+    (f'<html><head><title>T</title><style>p {{}}</style></head><body><div id="top"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul></div><div id="bodytext"><h1>Bridge delayed again</h1><p>{P}{Q}</p><p>{R}{P}</p></div><div class="footer">&copy; 2020 The Paper. All rights reserved.</div></body></html>',
+     ["Bridge delayed again",P+Q,R+P]),
+    (f'<body><nav><a href="/">Start</a> | <a href="/b">Blog</a></nav><div class="entry-content"><p>{P}</p><ul><li>{Q}</li><li>{R}</li></ul><p>{R}{Q}</p></div><aside class="sidebar"><h3>Related</h3><ul><li><a href="/1">One thing</a></li><li><a href="/2">Another thing</a></li></ul></aside><div id="comments"><p>{Q}</p></div></body>',
+     [P,Q,R,R+Q]),
+    (f'<table><tr><td><a href=1>Index</a><br><a href=2>Archive</a><br><a href=3>Links</a></td><td><p>{P}{Q}<p>{Q}{R}<p>{R}{P}</td></tr></table>',
+     [P+Q,Q+R,R+P]),
+    (f'<main><header><h1>My site</h1></header><article><h2>On bridges</h2><p>{P}<svg viewBox="0 0 1 1"/> {Q}</p><blockquote><p>{R}</p></blockquote><p>{Q}</p></article></main><footer><p>{R}</p></footer>',
+     ["On bridges",P+Q,R,Q]),
+    (f'<div class="xqz"><div class="zz1"><p>{P}{R}</p><p>{Q}{P}</p><p>{R}{R}</p></div><div class="cookie-consent"><p>We use cookies to make this site better for you. <button>OK</button></p></div></div>',
+     [P+R,Q+P,R+R]),
+    (f'<body><h1>A plain page</h1><p>{P}{Q}</p><p>{Q}{R}</p></body>',["A plain page",P+Q,Q+R]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(HAND_MADE)))
+def test_pages_of_other_hands(k):
+    """Layouts that the generator of the training pages doesn't write."""
+    page, want = HAND_MADE[k]
+    assert html_crf.default_field().main_text(page) == "\n\n".join(" ".join(x.split()) for x in want)
+
+
+def test_broken_markup_loses_no_text_and_no_time():
+    import time
+
+    texts = lambda page: [t for _, t, _ in html_crf.leaf_blocks(page)]
+    assert texts('<p>a</p><svg viewBox="0 0 1 1"/><p>b</p>') == ["a", "b"]
+    assert texts("<p>a<button>go<p>b") == ["ago", "b"]
+    assert texts("<p>a</p><select><option>x<p>b</p>")[-1] == "b" and texts("<p>a<select><option>x</select> b")== ["a b"]
+    assert texts("<p>a <svg><text>t</text><svg></svg></svg>b") == ["a b"]
+    assert texts("<p>a<!-- <p>x --> b<script>'<p>'</script><style>p{}</style></p>1 < 2 & 3 > 2") == ["a b", "1 < 2 & 3 > 2"]
+    assert texts("<p title='>' class=\"x>y\">a</p><p title=\">b</p>") == ["a", "b"]
+    assert texts("") == texts("<p></p>") == []
+    for part in ("<a ", '<a x="', "<div>x", "<svg>", "<a x='>", "<!--", '<a x=">" ', "<textarea>", "<p><i>", "</b>", "<b></i>"):
+        began = time.time()
+        html_crf.leaf_blocks(part * (300_000 // len(part)))
+        assert time.time() - began < 5, part
+    assert texts("<a " * 16_000 + "x")
+
+
+def test_html_of_odd_tables(spark):
+    kind = "page_id long, url string, html string, TEXT string, text string, Page_Id int"
+    field = html_crf.default_field()
+    long = "<article>" + "<p>Some words in a paragraph, of a long page.</p>" * 20_000 + "</article>"
+    rows = spark.createDataFrame([(1, None, long, "a", "b", 3), (None, "u", "<p>", "a", "b", 3), (1, None, long, "a", "b", 3)], kind)
+    made = html_crf.extract(rows, field).collect()
+    n = 20_000 * (len("Some words in a paragraph, of a long page.") + 2) - 2
+    assert sorted(r.n_chars for r in made) == [0, n, n] and all(len(r.text) == r.n_chars for r in made)
+    assert html_crf.extract(rows.limit(0), field).count() == 0
