@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 
 from pyspark.sql import Column
@@ -42,7 +43,13 @@ def is_repeated(schema: T.StructType, path: str) -> bool:
 
 
 def literal(value: object, kind: T.DataType) -> Column:
-    return F.lit(value).cast(kind) if not isinstance(value, bytes | bytearray) else F.lit(bytes(value))
+    """A constant of the type. Timestamps don't go through Python's own time zone: aware ones are instants, naive ones mean the session's zone."""
+    if isinstance(value, bytes | bytearray):
+        return F.lit(bytes(value))
+    if isinstance(value, dt.datetime):
+        text = value.replace(tzinfo=None).isoformat(sep=" ") + (value.strftime("%z") and f"{value.strftime('%z')[:3]}:{value.strftime('%z')[3:5]}")
+        return F.lit(text).cast("timestamp" if value.tzinfo else kind).cast(kind)
+    return F.lit(value).cast(kind)
 
 
 def row_filter(predicate: Predicate, schema: T.StructType) -> Column:

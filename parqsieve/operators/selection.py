@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A bitmap holds row ids of 32 bits.
 MOST_ROWS = (1 << 32) - 1
+BUCKET = 32_768
 
 
 def fits_bitmap(total_rows: int) -> bool:
@@ -53,6 +58,27 @@ def bitmaps(ids: DataFrame) -> DataFrame:
     return ids.groupBy("file", F.bitmap_bucket_number(one_based).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one_based)).alias("bits"))
 
 
+def bitmaps_of_runs(made: DataFrame) -> DataFrame:
+    """The same of the selected rows of runs, without a row for each id: a run is cut at the buckets, and a bucket's bits are set stretch by stretch."""
+    size = F.lit(BUCKET)
+    cut = made.where("not skip").select("file", "start", (F.col("start") + F.col("n")).alias("end"), F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))).alias("k"))
+    stretch = F.struct((F.greatest("start", F.col("k") * size) - F.col("k") * size).cast("int").alias("first"), (F.least("end", (F.col("k") + 1) * size) - F.col("k") * size).cast("int").alias("last"))
+    held = cut.groupBy("file", (F.col("k") + 1).alias("bucket")).agg(F.collect_list(stretch).alias("stretches"))  # at most half as many as a bucket has rows
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for stretches in b.column(2).to_pylist():
+                step = np.zeros(BUCKET + 1, np.int32)
+                for s in stretches:
+                    step[s["first"]] += 1
+                    step[s["last"]] -= 1
+                out.append(np.packbits(np.cumsum(step[:-1]) > 0, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["file", "bucket", "bits"])
+
+    return held.mapInArrow(bits, "file string, bucket long, bits binary")
+
+
 def ids_of_bitmaps(maps: DataFrame) -> DataFrame:
     """file, row_id of the bits that are set."""
     byte: Column = F.conv(F.hex(F.substring("bits", F.col("at") + 1, 1)), 16, 10).cast("int")

@@ -22,7 +22,7 @@ UNKNOWN = F.lit
 
 @dataclass(frozen=True)
 class Stats:
-    """Columns with what is known of a leaf: least, greatest, nulls (null: unknown), rows; whether bounds may be used (order and exactness); whether it is repeated; evidence arrays."""
+    """Columns with what is known of a leaf (of an interval: bounds as structs of months, days and nanoseconds): least, greatest, nulls (null: unknown), rows; whether bounds may be used (order and exactness); whether it is repeated; evidence arrays."""
 
     kind: T.DataType
     low: Column
@@ -103,7 +103,9 @@ def usable(s: Stats) -> Column:
 
 
 def compare(op: Op, value: object, s: Stats) -> Column:
-    if value is None or value != value or isinstance(s.kind, T.CalendarIntervalType):
+    if isinstance(s.kind, T.CalendarIntervalType):
+        return compare_interval(op, value, IntervalStats(s.low, s.high, s.nulls)) if isinstance(value, tuple) else unknown()
+    if value is None or value != value:
         return unknown()
     v, low, high = literal(value, s.kind), s.low, s.high
     point, outside = (low == high) & (low == v), (low > v) | (high < v)

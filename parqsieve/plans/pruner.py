@@ -13,7 +13,7 @@ import functools
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,7 @@ def projection_of(columns: Iterable[str] | None) -> list[str] | None:
 class PruneResult:
     """groups: file, length, modified, rg, num_rows, ranges (null: the whole group) of what is kept; files: all that were listed."""
 
+    path: str | list[str]
     groups: DataFrame
     files: DataFrame
     schema: T.StructType
@@ -85,28 +86,71 @@ class PruneResult:
         return selection.runs(self.groups.select("file", "rg", "num_rows", "ranges"))
 
     def bitmaps(self) -> DataFrame | None:
-        """file, bucket, bits; None if not asked for. Files with more rows than 32 bits can number are left out, see too_long()."""
+        """file, bucket, bits, note; None if not asked for. A file with more kept rows than 32 bits can number has one row without bucket and bits, and a note that says so."""
         if not self.options.bitmap:
             return None
-        return selection.bitmaps(selection.row_ids(self.runs().join(self.too_long(), "file", "left_anti")))
+        sized = self.groups.withColumn("total", F.sum("num_rows").over(Window.partitionBy("file")))
+        made = selection.bitmaps_of_runs(selection.runs(sized.where(F.col("total") <= selection.MOST_ROWS).select("file", "rg", "num_rows", "ranges")))
+        long = sized.where(F.col("total") > selection.MOST_ROWS).select("file").distinct()
+        note = F.lit(f"more than {selection.MOST_ROWS} rows are kept: no bitmap")
+        return made.withColumn("note", F.lit(None).cast("string")).unionByName(long.select("file", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), note.alias("note")))
 
     def too_long(self) -> DataFrame:
         """The files whose kept rows no bitmap can number."""
         return self.groups.groupBy("file").agg(F.sum("num_rows").alias("rows")).where(F.col("rows") > selection.MOST_ROWS).select("file")
 
+    def parts(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Row groups, runs and bitmaps."""
+        return self.row_groups(), self.runs(), self.bitmaps()
+
+    def parts_with_projection(self) -> tuple[DataFrame, DataFrame, DataFrame | None, list[str]]:
+        """The same and the required columns."""
+        return *self.parts(), self.required_columns
+
+    def totals(self) -> Row:
+        """files, groups, pages_rows: how many files, row groups and rows are kept, and n_files of all."""
+        selected = F.coalesce(F.aggregate("ranges", F.lit(0).cast("long"), lambda t, r: t + r["n"]), "num_rows")
+        return self.groups.agg(F.count_distinct("file").alias("files"), F.count("*").alias("groups"), F.coalesce(F.sum(selected), F.lit(0)).alias("rows")).first()
+
     def read_schema(self) -> T.StructType:
         """The top-level columns that are required; all if that isn't known."""
         need = {name for path in self.required_columns for name in self.schema.names if path == name or path.startswith(name + ".")}
         return T.StructType([f for f in self.schema.fields if not self.required_columns or f.name in need])
 
-    def scan(self, exact: Column | None = None) -> DataFrame:
-        """The matching rows of what is kept. Where parts of a text couldn't be compiled, the whole condition is needed as ``exact``."""
-        if self.errors and exact is None:
-            raise ValueError("parts of the predicate couldn't be compiled; give the exact condition")
-        rows = read_ranges(self.groups, self.read_schema(), self.opener, tasks_for(self.files))
-        hits = exact if exact is not None else row_filter(And(tuple(self.predicates)), self.schema)
-        found = rows.where(hits)
-        return found if self.output is None else found.select(*[f"`{c}`" if c in self.schema.names else c for c in self.output])
+    def exact(self) -> Column:
+        """The whole condition. A text goes to Spark as it is, whatever of it could be compiled; one with names that only the schema's leaves explain goes through the predicates."""
+        if self.compiled.sql is not None:
+            return F.expr(self.compiled.sql)
+        if self.errors:
+            raise ValueError("parts of the predicate couldn't be compiled, and it has names that Spark doesn't find; give the exact condition")
+        return row_filter(And(tuple(self.predicates)), self.schema)
+
+    def scan(self, exact: Column | None = None, reader: str = "files") -> DataFrame:
+        """The matching rows of what is kept.
+
+        reader "files": Spark's own reader gets the kept files and the exact condition, which it also pushes down to row groups and pages.
+        The driver holds the list of kept files, as it holds Spark's list of all. "ranges": tasks in Python read just the kept stretches of
+        rows; for evidence that Spark's reader doesn't have.
+        """
+        if reader == "ranges":
+            rows = read_ranges(self.groups, self.read_schema() if not self.errors else self.schema, self.opener, tasks_for(self.files))
+        elif reader == "files":
+            rows = self.kept_files()
+        else:
+            raise ValueError(f"reader is files or ranges, not {reader}")
+        found = rows.where(self.exact() if exact is None else exact)
+        return found.select(*(self.schema.names if self.output is None else [f"`{c}`" if c in self.schema.names else c for c in self.output]))
+
+    def kept_files(self) -> DataFrame:
+        """All rows of the files with a kept row group."""
+        spark = self.groups.sparkSession
+        rows = spark.read.schema(self.schema).parquet(*([self.path] if isinstance(self.path, str) else self.path))
+        if not self.predicates:
+            return rows
+        kept = [r.file for r in self.groups.select("file").distinct().collect()]
+        if len(kept) == len(rows.inputFiles()):
+            return rows
+        return rows.where(F.col("_metadata.file_path").isin(kept) if kept else F.lit(False))
 
 
 def decide(files: DataFrame, schema: T.StructType, predicates: list[Predicate], options: PruneOptions, evidence: Evidence, opener: footers.Opener) -> DataFrame:
@@ -208,7 +252,7 @@ class Pruner:
             return Compiled()
         if isinstance(predicate, str):
             return self.compiler.compile(predicate)
-        return Compiled(list(predicate.terms) if isinstance(predicate, And) else [predicate], [], predicate.columns())
+        return Compiled.of(predicate)
 
     def prune(self, path: str | list[str], predicate: Predicate | str | None = None, output: Iterable[str] | None = None) -> PruneResult:
         return self._prune(path, self.compile(predicate), output)
@@ -216,7 +260,7 @@ class Pruner:
     def _prune(self, path: str | list[str], compiled: Compiled, output: Iterable[str] | None) -> PruneResult:
         files = footers.list_files(self.spark, path)
         groups = decide(files, self.schema, compiled.predicates, self.options, self.evidence, self.opener)
-        return PruneResult(groups, files, self.schema, compiled, self.options, projection_of(output), self.opener)
+        return PruneResult(path, groups, files, self.schema, compiled, self.options, projection_of(output), self.opener)
 
     def try_compile(self, predicate: Predicate | str) -> CompiledPruner:
         """Raises the first error if any part can't be compiled."""

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parqsieve.operators import pages as P
 from parqsieve.operators.ir import And, Predicate
 from parqsieve.operators.tristate import Stats, keep, tristate
+from parqsieve.sources.scratch import written
+
+MOST_RANGES = 64
 
 
 def zone_of(key: str, size: int) -> Column:
-    return F.floor(F.col(key) / size).cast("long")
+    """Of whole-numbered keys, exact at any size."""
+    return F.expr(f"(`{key}` - pmod(`{key}`, {size}L)) div {size}L")
 
 
 def zone_maps(df: DataFrame, key: str, size: int, columns: list[str], dictionaries: tuple[str, ...] = ()) -> DataFrame:
@@ -24,21 +34,21 @@ def zone_maps(df: DataFrame, key: str, size: int, columns: list[str], dictionari
     return df.groupBy(zone_of(key, size).alias("zone")).agg(*aggs)
 
 
-def lookup_in(df: DataFrame, columns: list[str], dictionaries: tuple[str, ...] = ()):
+def lookup_in(schema: T.StructType, columns: list[str], dictionaries: tuple[str, ...] = (), kinds: dict[str, T.DataType] = {}):
     def lookup(path: str) -> Stats | None:
         if path not in columns:
             return None
         i = columns.index(path)
-        return Stats(df.schema[path].dataType, F.col(f"low_{i}"), F.col(f"high_{i}"), F.col(f"nulls_{i}"), F.col("n"), values=F.col(f"values_{i}") if path in dictionaries else None)
+        return Stats(kinds.get(path) or schema[path].dataType, F.col(f"low_{i}"), F.col(f"high_{i}"), F.col(f"nulls_{i}"), F.col("n"), values=F.col(f"values_{i}") if path in dictionaries else None)
 
     return lookup
 
 
-def decide(df: DataFrame, key: str, size: int, predicate: Predicate, dictionaries: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
-    """zone, tri, keep. Columns in without have no statistics."""
+def decide(df: DataFrame, key: str, size: int, predicate: Predicate, dictionaries: tuple[str, ...] = (), without: tuple[str, ...] = (), kinds: dict[str, T.DataType] | None = None) -> DataFrame:
+    """zone, tri, keep. Columns in without have no statistics; kinds are types of predicates on columns that hold them in another form (intervals as structs)."""
     columns = [c for c in predicate.columns() if c not in without]
     made = zone_maps(df, key, size, columns, dictionaries)
-    tri = tristate(predicate, lookup_in(df, columns, dictionaries))
+    tri = tristate(predicate, lookup_in(df.schema, columns, dictionaries, kinds or {}))
     return made.select("zone", tri.alias("tri"), keep(tri).alias("keep"))
 
 
@@ -64,7 +74,48 @@ def page_rows(df: DataFrame, key: str, size: int, page: int, predicates: list[Pr
     return cut.select("zone", "n", "starts", picked.flags.alias("flags"), picked.exact.alias("exact"), picked.supported.alias("supported"))
 
 
-def pruned_scan(df: DataFrame, key: str, size: int, predicate: Predicate, row_filter: Column) -> DataFrame:
-    """Rows that match, read from kept zones only; the exact filter is always applied. Zone decisions join on the zone, one row each."""
-    kept = decide(df, key, size, predicate).where("keep").select("zone")
-    return df.where(row_filter).withColumn("zone", zone_of(key, size)).join(kept, "zone", "left_semi").drop("zone")
+class ZoneIndex:
+    """Zone maps of a table in a table of their own, a row for each zone, built once and used by many scans."""
+
+    def __init__(self, df: DataFrame, key: str, size: int, columns: list[str], path: str):
+        self.key, self.size, self.columns, self.schema = key, size, columns, df.schema
+        self.maps = written(zone_maps(df, key, size, columns), "zones", path)
+
+    def ranges(self, predicate: Predicate, most: int = MOST_RANGES) -> list[tuple[int, int]]:
+        """At most ``most`` ranges of zones, ends included, that cover all that are kept: of more, the nearest become one. A task brings no more than that to the driver."""
+        tri = tristate(predicate, lookup_in(self.schema, self.columns))
+        kept = self.maps.where(keep(tri)).where("zone is not null").select("zone")
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: list[tuple[int, int]] = []
+            for b in batches:
+                found = joined([*found, *((z, z) for z in b.column(0).to_pylist())], most)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["first", "last"])
+
+        parts = kept.repartitionByRange("zone").sortWithinPartitions("zone").mapInArrow(merge, "first long, last long")
+        return joined([tuple(r) for r in parts.collect()], most)
+
+    def keys(self, predicate: Predicate) -> Column:
+        """A condition on the key, for a scan to push down, that all matching rows meet; rows without a key aren't in any zone's range and are let through."""
+        key, size = F.col(self.key), self.size
+        return functools.reduce(Column.__or__, [(key >= first * size) & (key < (last + 1) * size) for first, last in self.ranges(predicate)], key.isNull())
+
+
+def joined(ranges: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(ranges):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    if len(out) > most:
+        widest = sorted(range(1, len(out)), key=lambda k: out[k - 1][1] - out[k][0])[: most - 1]
+        cuts = [0, *sorted(widest)]
+        out = [(out[a][0], out[b - 1][1]) for a, b in itertools.pairwise([*cuts, len(out)])]
+    return out
+
+
+def pruned_scan(df: DataFrame, index: ZoneIndex, predicate: Predicate, row_filter: Column) -> DataFrame:
+    """Rows of df that match, one scan with the kept ranges of the key pushed down; the exact filter is always applied."""
+    return df.where(index.keys(predicate) & row_filter)

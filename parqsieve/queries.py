@@ -1,8 +1,10 @@
 """The registered queries of the engine and their DuckDB SQL.
 
 ``filter_*`` are exact row filters, ``rg_*`` decisions on zones of a key, ``page_*`` on pages within zones, ``dict_*``
-with dictionary evidence, ``pruned_scan`` a scan of kept zones with the exact filter. ``footer_*`` go by the files' own
-metadata: statistics as the footers hold them, and scans of the row groups and rows that these keep.
+with dictionary evidence, ``zone_scan`` a scan with the kept zones pushed down. ``pruned_scan`` and ``footer_*`` go by the
+files' own metadata: statistics as the footers hold them, and scans of what these keep. ``kept_*`` show what is kept of files
+with many row groups, pages and bloom filters, which are written from ``orders`` first: groups, stretches of rows, runs and
+bitmaps. ``sql_*`` are conditions given as text.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import types as T
 from parqsieve.operators import ir, selection
 from parqsieve.operators.ir import Hint, Op, Predicate
 from parqsieve.operators.rows import row_filter
+from parqsieve.plans.compiler import Compiler
 from parqsieve.plans.pruner import PruneRequest
-from parqsieve.plans.zonemap import decide, page_rows, pruned_scan
+from parqsieve.plans.zonemap import ZoneIndex, decide, page_rows, pruned_scan, zone_of
 from parqsieve.sources.footers import list_files, row_groups
+from parqsieve.sources.scratch import scratch_path
 
 FLAGSHIP = "pruned_scan"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,13 +211,27 @@ for _name, _ps in (
     _pages(_name, *_ps)
 
 
-def _pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _zone_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, p = orders(spark, sf_dir), ir.all_of(ir.gt("p", 400000.0), ir.lt("o_orderkey", 5000))
-    return pruned_scan(df, "o_orderkey", ZONE, p, row_filter(p, df.schema)).select("o_orderkey", "p")
+    index = ZoneIndex(df, "o_orderkey", ZONE, ["o_orderkey", "p"], scratch_path(spark, "zones"))
+    return pruned_scan(df, index, p, row_filter(p, df.schema)).select("o_orderkey", "p")
 
 
-QUERIES["pruned_scan"] = _pruned_scan
-ORACLE_SQL["pruned_scan"] = f"SELECT o_orderkey, p FROM (SELECT *, {NULLABLE} AS p FROM orders) AS t WHERE p > 400000 AND o_orderkey < 5000"
+QUERIES["zone_scan"] = _zone_scan
+ORACLE_SQL["zone_scan"] = f"SELECT o_orderkey, p FROM (SELECT *, {NULLABLE} AS p FROM orders) AS t WHERE p > 400000 AND o_orderkey < 5000"
+
+
+def _interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of months, days and nanoseconds: zones of one value are decided, others are not."""
+    zone = zone_of("o_orderkey", ZONE)
+    parts = F.struct(F.pmod(zone, F.lit(3)).alias("months"), F.when(zone % 5 == 0, F.col("o_orderkey") % 2).otherwise(F.lit(0)).cast("long").alias("days"), F.lit(0).cast("long").alias("nanos"))
+    df = orders(spark, sf_dir).select("o_orderkey", parts.alias("i"))
+    return decide(df, "o_orderkey", ZONE, ir.all_of(ir.ge("i", (1, 0, 0)), ir.ne("i", (2, 0, 0))), kinds={"i": T.CalendarIntervalType()})
+
+
+QUERIES["rg_interval_point"] = _interval
+ORACLE_SQL["rg_interval_point"] = f"""WITH z AS (SELECT CAST(floor(o_orderkey / {ZONE}) AS BIGINT) AS zone, count(DISTINCT o_orderkey % 2) AS d FROM orders GROUP BY 1),
+t AS (SELECT zone, CASE WHEN zone % 5 = 0 AND d > 1 THEN NULL ELSE zone % 3 >= 1 AND zone % 3 <> 2 END AS tri FROM z) SELECT zone, tri, coalesce(tri, TRUE) AS keep FROM t"""
 
 
 def _footer_scan(name: str, table: str, columns: tuple[str, ...], predicate: Predicate | str, where: str, **options: bool) -> None:
@@ -221,6 +239,7 @@ def _footer_scan(name: str, table: str, columns: tuple[str, ...], predicate: Pre
     ORACLE_SQL[name] = f"SELECT {', '.join(sorted(columns))} FROM {table} WHERE {where}"
 
 
+_footer_scan("pruned_scan", "orders", ("o_orderkey", "o_totalprice"), "o_totalprice > 400000 AND o_orderkey < 5000", "o_totalprice > 400000 AND o_orderkey < 5000")
 _footer_scan("footer_scan_between", "orders", ("o_orderkey", "o_totalprice"), ir.between("o_orderkey", 1000, 1200), "o_orderkey BETWEEN 1000 AND 1200")
 _footer_scan("footer_scan_text", "lineitem", ("l_orderkey", "l_linenumber"), "l_orderkey < 500 AND l_quantity >= 40", "l_orderkey < 500 AND l_quantity >= 40")
 _footer_scan("footer_scan_timestamp", "orders", ("o_orderkey",), ir.lt("o_orderdate", dt.datetime(1995, 2, 1)), "o_orderdate < TIMESTAMP '1995-02-01'")
@@ -248,3 +267,158 @@ def _bitmap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["bitmap_round_trip"] = _bitmap_round_trip
 ORACLE_SQL["bitmap_round_trip"] = """WITH i AS (SELECT DISTINCT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderkey % 10 < 4)
 SELECT min(k) AS start, count(*) AS n FROM (SELECT k, k - row_number() OVER (ORDER BY k) AS island FROM i) AS t GROUP BY island"""
+
+
+#: What the files for kept_* hold: rows sorted by key within three files (by key % 3), GROUP rows in a row group, PAGE_ROWS in a page.
+GROUP, PAGE_ROWS = 400, 100
+COPY = "o_orderkey AS k, o_orderkey * 7919 % 1000003 AS h, CASE WHEN o_orderkey % 4000 < 1300 THEN NULL ELSE o_totalprice END AS p, substr('abcdefghijklmnopqrst', CAST(floor(o_orderkey / 3000) % 20 + 1 AS INT), 1) || o_orderpriority AS s, o_orderkey % 3 AS part"
+BLOOM = {f"parquet.bloom.filter.{name}#h": value for name, value in (("enabled", "true"), ("expected.ndv", "4000"), ("fpp", "0.00001"))}
+
+
+def orders_copy(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with three files of many row groups, as a pipeline that sorts by key would leave them."""
+    path = scratch_path(spark, "orders")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*_split(COPY))
+    sorted_rows = rows.repartition(3, "part").sortWithinPartitions("part", "k")
+    sorted_rows.write.options(**BLOOM).option("parquet.block.row.count.limit", str(GROUP)).option("parquet.page.row.count.limit", str(PAGE_ROWS)).option("parquet.enable.dictionary", "false").partitionBy("part").parquet(path)
+    return path
+
+
+def _kept(spark: SparkSession, sf_dir: str, predicate: Predicate | str, **options: bool) -> DataFrame:
+    made = PruneRequest(spark, orders_copy(spark, sf_dir)).where(predicate).option(**options).prune()
+    selected = F.coalesce(F.aggregate("ranges", F.lit(0).cast("long"), lambda t, r: t + r["n"]), "num_rows")
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")
+    return made.groups.select(part.alias("part"), F.col("rg").cast("long").alias("rg"), "num_rows", selected.alias("selected"))
+
+
+def _split(columns: str) -> list[str]:
+    """Columns at commas outside brackets and quotes."""
+    out, depth, quoted = [""], 0, False
+    for c in columns:
+        quoted ^= c == "'"
+        depth += (c == "(") - (c == ")") if not quoted else 0
+        if c == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _kept_query(name: str, predicate: Predicate | str, group: str, page: str = "TRUE", **options: bool) -> None:
+    """group and page: the conditions in SQL, on low_c, high_c, nulls_c and n, for a row group and a page to be kept."""
+    QUERIES[f"kept_{name}"] = lambda spark, sf_dir: _kept(spark, sf_dir, predicate, **options)
+    stats = "".join(f", min({c}) AS low_{c}, max({c}) AS high_{c}, count(*) - count({c}) AS nulls_{c}, list({c}) AS all_{c}" for c in "khps")
+    ORACLE_SQL[f"kept_{name}"] = f"""WITH c AS (SELECT {COPY} FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k) - 1 AS i FROM c),
+g AS (SELECT part, CAST(floor(i / {GROUP}) AS BIGINT) AS rg, count(*) AS n{stats} FROM r GROUP BY 1, 2),
+w AS (SELECT part, CAST(floor(i / {GROUP}) AS BIGINT) AS rg, floor(i % {GROUP} / {PAGE_ROWS}) AS pg, count(*) AS n{stats} FROM r GROUP BY 1, 2, 3),
+q AS (SELECT part, rg, sum(n) AS selected FROM w WHERE {page} GROUP BY 1, 2)
+SELECT CAST(g.part AS BIGINT) AS part, g.rg, g.n AS num_rows, CAST(selected AS BIGINT) AS selected FROM g JOIN q USING (part, rg) WHERE {group}"""
+
+
+def _both(name: str, predicate: Predicate | str, condition: str, **options: bool) -> None:
+    _kept_query(name, predicate, condition, condition, **options)
+
+
+_both("eq", ir.eq("k", 3500), "low_k <= 3500 AND high_k >= 3500")
+_both("ne", ir.ne("k", 3500), "NOT (low_k = 3500 AND high_k = 3500)")
+_both("lt", "k < 3500", "low_k < 3500")
+_both("ge", "k >= 9000", "high_k >= 9000")
+_both("between", "k BETWEEN 3000 AND 3100", "low_k <= 3100 AND high_k >= 3000")
+_both("in", "k IN (100, 5000, 8001)", "(low_k <= 100 AND high_k >= 100) OR (low_k <= 5000 AND high_k >= 5000) OR (low_k <= 8001 AND high_k >= 8001)")
+_both("and", ir.all_of(ir.gt("k", 2000), ir.lt("k", 2500), ir.TRUE), "high_k > 2000 AND low_k < 2500")
+_both("or", "k < 500 OR k > 9500", "low_k < 500 OR high_k > 9500")
+_both("is_null", "p IS NULL", "nulls_p > 0")
+_both("is_not_null", "p IS NOT NULL", "nulls_p < n")
+_kept_query("no_page_index", "k < 3500", "low_k < 3500", page_index=False)
+_kept_query("prefix_not_exact", ir.starts_with("s", "c"), "TRUE")  # these files don't say that bounds of strings are whole
+_both("prefix", ir.starts_with("s", "c"), "low_s < 'd' AND high_s >= 'c'", truncated=True)
+_both("string_eq", ir.eq("s", "c3-MEDIUM"), "low_s <= 'c3-MEDIUM' AND high_s >= 'c3-MEDIUM'", truncated=True)
+_kept_query("bloom_eq", ir.eq("h", 7919 * 1501 % 1000003), "list_contains(all_h, 7919 * 1501 % 1000003)", "low_h <= 7919 * 1501 % 1000003 AND high_h >= 7919 * 1501 % 1000003")
+_kept_query("bloom_in", ir.in_list("h", [7919 * 33 % 1000003, 7919 * 12001 % 1000003]), "list_has_any(all_h, [7919 * 33 % 1000003, 7919 * 12001 % 1000003])", "(low_h <= 7919 * 33 % 1000003 AND high_h >= 7919 * 33 % 1000003) OR (low_h <= 7919 * 12001 % 1000003 AND high_h >= 7919 * 12001 % 1000003)")
+_kept_query("bloom_off", ir.eq("h", 7919 * 1501 % 1000003), "low_h <= 7919 * 1501 % 1000003 AND high_h >= 7919 * 1501 % 1000003", "low_h <= 7919 * 1501 % 1000003 AND high_h >= 7919 * 1501 % 1000003", bloom=False)
+_kept_query("bloom_negated", ir.negate(ir.eq("h", 7919 * 1501 % 1000003)), "TRUE")  # a filter can't tell that all rows have a value
+_kept_query("nothing", ir.eq("k", -5), "FALSE")
+
+
+def _kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row ids from the bitmaps of what is kept, counted within the kept row groups of a file."""
+    made = PruneRequest(spark, orders_copy(spark, sf_dir)).where("k BETWEEN 3000 AND 3100 OR k > 9900").prune()
+    ids = selection.ids_of_bitmaps(made.bitmaps().where("note is null").drop("note"))
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")
+    return ids.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("row_id").alias("least"), F.sum("row_id").alias("total"))
+
+
+QUERIES["kept_bitmaps"] = _kept_rows
+ORACLE_SQL["kept_bitmaps"] = f"""WITH c AS (SELECT {COPY} FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k) - 1 AS i FROM c),
+s AS (SELECT *, floor(i / {GROUP}) AS rg, floor(i / {PAGE_ROWS}) AS pg FROM r),
+b AS (SELECT *, min(k) OVER (PARTITION BY part, rg) AS gl, max(k) OVER (PARTITION BY part, rg) AS gh, min(k) OVER (PARTITION BY part, pg) AS pl, max(k) OVER (PARTITION BY part, pg) AS ph FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k) - 1 AS id FROM b WHERE (gl <= 3100 AND gh >= 3000) OR gh > 9900)
+SELECT CAST(part AS BIGINT) AS part, count(*) AS n, CAST(min(id) AS BIGINT) AS least, CAST(sum(id) AS BIGINT) AS total FROM t WHERE (pl <= 3100 AND ph >= 3000) OR ph > 9900 GROUP BY part"""
+
+
+def _kept_scan(name: str, condition: str, reader: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: PruneRequest(spark, orders_copy(spark, sf_dir)).where(condition).project("k", "p", "s").prune().scan(reader=reader)
+    ORACLE_SQL[name] = f"SELECT k, p, s FROM (SELECT {COPY} FROM orders) AS t WHERE {condition}"
+
+
+_kept_scan("kept_scan_files", "k BETWEEN 3000 AND 3100 AND p IS NOT NULL", "files")
+_kept_scan("kept_scan_ranges", "k BETWEEN 3000 AND 3100 AND p IS NOT NULL", "ranges")
+
+
+def _text(name: str, condition: str, sql: str | None = None) -> None:
+    """A condition as text on orders; sql: the same for DuckDB where that says it in another way."""
+    QUERIES[f"sql_{name}"] = lambda spark, sf_dir: PruneRequest(spark, f"{sf_dir}/orders.parquet").where(condition).project("o_orderkey", "o_orderstatus").prune().scan()
+    ORACLE_SQL[f"sql_{name}"] = f"SELECT o_orderkey, o_orderstatus FROM orders WHERE {sql or condition}"
+
+
+_text("split_conjuncts", "o_orderkey < 2000 AND length(o_orderstatus) = 1 AND o_totalprice > 300000")
+_text("and_or", "(o_orderkey < 50 AND o_orderstatus = 'F') OR (o_orderkey > 9950 AND o_orderstatus = 'O')")
+_text("boolean_literal", "o_orderkey < 30 AND TRUE")
+_text("flipped", "100 > o_orderkey")
+_text("literal_that_does_not_fit", "o_orderkey < 20.5")
+_text("between", "o_orderkey BETWEEN 10 AND 30")
+_text("not_between", "o_orderkey NOT BETWEEN 10 AND 9990")
+_text("between_word_in_a_call", "if(o_orderstatus = 'between', TRUE, o_orderkey < 40)", "CASE WHEN o_orderstatus = 'between' THEN TRUE ELSE o_orderkey < 40 END")
+_text("in_list", "o_orderkey IN (3, 5, 7)")
+_text("not_in_list", "o_orderkey NOT IN (3, 5, 7) AND o_orderkey < 20")
+_text("like_prefix", "o_orderpriority LIKE '1-%' AND o_orderkey < 500")
+_text("like_exact", "o_orderpriority LIKE '3-MEDIUM' AND o_orderkey < 500")
+_text("like_escape", "o_orderpriority LIKE '1-%' ESCAPE '!' AND o_orderkey < 500")
+_text("like_inner", "o_orderpriority LIKE '%IGH' AND o_orderkey < 500")
+_text("is_null", "o_orderkey IS NOT NULL AND NOT (o_orderstatus IS NULL) AND o_orderkey < 20")
+_text("not", "NOT (o_orderkey >= 25)")
+_text("cast_column", "CAST(o_orderkey AS BIGINT) < 25")
+_text("cast_literal", "o_orderkey < CAST('25' AS BIGINT)")
+_text("cast_date", "o_orderdate < CAST('1995-02-01' AS DATE)")
+_text("timestamp", "o_orderdate >= TIMESTAMP '2001-07-01 12:00:00'")
+_text("qualified_name", "orders.o_orderkey < 25")
+_text("column_and_column", "o_orderkey < 3000 AND o_orderkey < o_custkey")
+
+WRONG = (
+    ("a < 5 AND nosuch = 1", 1, "ColumnNotFound"),
+    ("b = 1", 0, "AmbiguousColumn"),
+    ("a < 2.5", 0, "CastFailed"),
+    ("s > 8", 0, "CastFailed"),
+    ("f = 0.1", 0, "CastFailed"),
+    ("a = length(s)", 0, "OperatorUnsupported"),
+    ("length(s) = 2", 0, "ColumnExpected"),
+    ("a <=> 3 AND a > 1 AND s LIKE '_x'", 1, "UnsupportedExpression,UnsupportedExpression"),
+    ("a IN (1, length('x'))", 0, "LiteralExpected"),
+    ("CAST(a AS STRING) = '5'", 0, "UnsupportedExpression"),
+    ("s LIKE 'a!%' ESCAPE '!'", 0, "UnsupportedExpression"),
+    ("a > 1 OR length(s) = 2", 0, "ColumnExpected"),
+    ("NOT a IN (1, 2)", 1, ""),
+)
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts of a text compile, and what the errors of the others are."""
+    compiler = Compiler(spark, T._parse_datatype_string("struct<a:int,s:string,f:float,x:struct<b:int>,y:struct<b:int>>"))
+    made = [(text, compiler.compile(text)) for text, *_ in WRONG]
+    return spark.createDataFrame([(text, c.n_predicates, ",".join(type(e).__name__ for e in c.errors)) for text, c in made], "text string, compiled long, errors string")
+
+
+QUERIES["sql_errors"] = _errors
+ORACLE_SQL["sql_errors"] = "SELECT * FROM (VALUES " + ", ".join(f"({sql_value(t)}, CAST({n} AS BIGINT), {sql_value(e)})" for t, n, e in WRONG) + ") AS v(text, compiled, errors)"

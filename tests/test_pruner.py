@@ -101,8 +101,9 @@ def test_scan_is_spread_over_tasks(spark, folder, schema):
 def test_columns_and_errors(spark, folder, schema):
     made = PruneRequest(spark, folder, schema).where("k < 100 AND length(s) > 1").project("d", "", "d").prune()
     assert [str(p) for p in made.predicates] == ["k < 100"] and isinstance(made.errors[0], UnsupportedExpression | Exception) and made.required_columns == sorted({"d", "k", *made.predicate_columns})
+    assert made.scan().count() == 100 - sum(1 for r in spark.read.parquet(folder).where("k < 100 AND (s IS NULL OR length(s) <= 1)").select("k").collect())
     with pytest.raises(ValueError, match="exact condition"):
-        made.scan()
+        PruneRequest(spark, folder, schema).where("element > 5 AND length(b) > 1").prune().scan()
     with pytest.raises(Exception):
         Pruner(spark, schema).try_compile("k < 100 AND length(s) > 1")
     assert Pruner(spark, schema).try_compile("k < 100").prune(folder, ["k"]).scan().count() == 100
