@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own_dirs: dict[str, str] = {}
-_scopes: list[list[str]] = []  # open scopes of scratch()
+from parqsieve.sources.scratch import delete_path, scratch, scratch_path, shared_dir, written
+
+__all__ = ["delete_path", "join_hot", "limit_threads", "map_rows", "pick", "read_table", "scratch", "scratch_path", "shared_dir", "shuffle_partitions", "slices", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,57 +36,6 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return inner.mapInArrow(run, T.StructType(kinds)).toDF(*df.columns, *[f.name for f in added])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset and all tasks run in the driver's process, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        path = tempfile.mkdtemp(prefix="parqsieve-")
-        _own_dirs[app] = f"file://{path}"
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return _own_dirs[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for scope in _scopes:
-        scope.append(path)
-    return path
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes what is written to the shared folder within the block, at its end; for callers that have written their result elsewhere by then.
-
-    Results of the operators read such tables, so one that is handed out lazily keeps them until the caller's scope ends."""
-    made: list[str] = []
-    _scopes.append(made)
-    try:
-        yield
-    finally:
-        _scopes.remove(made)
-        for path in made:
-            delete_path(spark, path)
-
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def join_hot(many: DataFrame, one: DataFrame, keys: list[str], copies: str, total: int, how: str = "inner") -> DataFrame:
     """many joined with one, whose keys are unique and whose column ``copies`` says how often many has a key; without that column.
 
