@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from parqsieve.llm.common import read_table, written
+from parqsieve.llm.common import read_table, scratch, scratch_path, written
 from parqsieve.llm.decontaminate import decontaminate
 from parqsieve.llm.minhash import keep_one
 from parqsieve.llm.packing import pack
 from parqsieve.llm.suffixes import remove_repeats
-from parqsieve.llm.toxicity import grade, train
+from parqsieve.llm.toxicity import train, without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from all labelled documents, and documents of a grade above 0 go."""
     model = train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return grade(docs, model).where(~F.col("toxicity.toxic")).drop("toxicity")
+    return without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +44,14 @@ STAGES = [
     ("benchmark decontamination", drop_contaminated),
     ("best-fit packing", pack_sequences),
 ]
-ORACLE_SQL = None  # near-duplicates by hashes, suffixes and a trained model aren't SQL; tests hold each stage against brute force
+ORACLE_SQL = None  # a trained model, hashes of shingles and packing aren't SQL; tests/llm/test_pipeline.py holds run() against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages' operators write on their way is removed after each stage; the stages' own tables stay."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), "stage", path)
     return docs
