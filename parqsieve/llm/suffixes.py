@@ -42,7 +42,7 @@ LENGTH = 200
 MARKER = 64
 CHUNK = 1 << 21
 PLACE_BYTES = 12 << 20
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 SYMBOL = 25
 PACKED = 7
@@ -108,13 +108,14 @@ def slots_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' bytes plus one, each text followed by a zero as its end; where each text begins; and the place of the end for every slot."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    symbols = np.zeros(int((sizes + 1).sum()), np.int64)
-    end = np.repeat(begins + sizes, sizes + 1)
-    symbols[np.arange(len(symbols)) != end] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    return symbols, begins, end
+    symbols = np.zeros(int((sizes + 1).sum()), np.int16)
+    inside = np.ones(len(symbols), bool)
+    inside[begins + sizes] = False
+    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
+    return symbols, begins, np.repeat((begins + sizes).astype(np.int32), sizes + 1)
 
 
-def first_symbols(symbols: np.ndarray) -> np.ndarray:
+def first_symbols(symbols: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
     """The first PACKED bytes of every suffix as a number, with zeros beyond its end."""
 
     def joined(front: np.ndarray, n: int, tail: np.ndarray, m: int) -> np.ndarray:
@@ -123,8 +124,17 @@ def first_symbols(symbols: np.ndarray) -> np.ndarray:
         out[: len(out) - n] |= np.where(front[: len(out) - n] & 511, tail[n:], 0)
         return out
 
-    two = joined(symbols, 1, symbols, 1)
-    return joined(joined(two, 2, two, 2), 4, joined(two, 2, symbols, 1), 3)
+    key = np.empty(len(symbols), np.int64)
+    for a in range(0, len(symbols), piece):
+        one = symbols[a : a + piece + PACKED].astype(np.int64)
+        two = joined(one, 1, one, 1)
+        key[a : a + piece] = joined(joined(two, 2, two, 2), 4, joined(two, 2, one, 1), 3)[: len(key[a : a + piece])]
+    return key
+
+
+def singles_out(rows: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """The rows of intervals of more than one; fresh marks the first of each."""
+    return rows[~(fresh & np.append(fresh[1:], True))]
 
 
 def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,24 +143,25 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     The end of a text is less than any byte, and ends go by the number of their text, so the first rows are the ends."""
     symbols, begins, end = slots_of(texts)
     n = len(symbols)
+    count = np.arange(n, dtype=np.int32)
     key = first_symbols(symbols)
     key[begins + np.array([len(t) for t in texts])] = np.arange(len(texts)) - len(texts)
-    order = np.argsort(key, kind="stable")
-    fresh = np.concatenate(([True], key[order[1:]] != key[order[:-1]])) if n else np.empty(0, bool)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    open_, depth = order[~(fresh & np.append(fresh[1:], True))], PACKED
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    fresh = np.concatenate(([True], key[1:] != key[:-1])) if n else np.empty(0, bool)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, count, 0))
+    open_, depth = singles_out(order, fresh), PACKED
     while len(open_):
-        key = rank[open_] * n + rank[np.minimum(open_ + depth, end[open_])]
+        key = rank[open_].astype(np.int64) << 32 | rank[np.minimum(open_.astype(np.int64) + depth, end[open_])]
         by = np.argsort(key)
         open_, key = open_[by], key[by]
-        old, at = rank[open_], np.arange(len(open_))
+        old, at = (key >> 32).astype(np.int32), count[: len(by)]
         spot = old + at - np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), at, 0))
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
         rank[open_] = np.maximum.accumulate(np.where(fresh, spot, 0))
-        open_, depth = open_[~(fresh & np.append(fresh[1:], True))], depth * 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
+        open_, depth = singles_out(open_, fresh), depth * 2
+    order[rank] = count
     owner = np.searchsorted(begins, order, side="right") - 1
     whole = order == begins[owner]
     before = np.where(whole, 0, symbols[order - 1] - 1).astype(np.uint8) if n else np.empty(0, np.uint8)
@@ -162,41 +173,48 @@ def merged_repeats(before: np.ndarray, whole: np.ndarray, shard_rows: np.ndarray
 
     before and whole are the shards' transforms one after another, shard_rows and shard_texts their numbers of rows and of texts, sizes those of the texts."""
     n, texts = len(before), len(sizes)
-    shard = np.repeat(np.arange(len(shard_rows)), shard_rows)
     row_base, text_base = np.cumsum(shard_rows) - shard_rows, np.cumsum(shard_texts) - shard_texts
     end_row = np.arange(texts) + np.repeat(row_base - text_base, shard_texts)  # of the end of each text
     is_end = np.zeros(n, bool)
     is_end[end_row] = True
     # from a row to that of the suffix one byte longer: rows of a shard by their byte, in order, are its rows that aren't ends
     inner = np.flatnonzero(~whole)
-    back = np.full(n, -1, np.int64)
-    back[np.sort((shard[inner] << 8 | before[inner]) << 32 | inner) & 0xFFFFFFFF] = np.flatnonzero(~is_end)
+    ordered = (np.repeat(np.arange(len(shard_rows)), shard_rows)[inner] << 8 | before[inner]) << 32
+    ordered |= inner
+    ordered.sort()
+    back = np.full(n, -1, np.int32)
+    back[ordered & 0xFFFFFFFF] = np.flatnonzero(~is_end)
+    del inner, ordered, is_end
     # read the texts backward from their ends, all at once
     begins = np.cumsum(sizes + 1) - sizes - 1
     by_size = np.argsort(-sizes, kind="stable")
-    row_at, symbols = np.empty(n, np.int32), np.zeros(n, np.int64)
+    row_at, symbols = np.empty(n, np.int32), np.zeros(n, np.int16)
     rows, reach, falling = end_row[by_size], (begins + sizes)[by_size], -sizes[by_size]
     for step in range(int(sizes.max(initial=-1)) + 1):
         many = int(np.searchsorted(falling, -step, side="right"))
         rows, reach = rows[:many], reach[:many]
         row_at[reach - step] = rows
         live = ~whole[rows]
-        symbols[(reach - step - 1)[live]] = before[rows[live]].astype(np.int64) + 1
+        symbols[(reach - step - 1)[live]] = before[rows[live]].astype(np.int16) + 1
         rows = np.where(live, back[rows], 0)
+    del back
     slot = np.empty(n, np.int32)
     slot[row_at] = np.arange(n, dtype=np.int32)
-    end = np.repeat(begins + sizes, sizes + 1)
-    # the interleave by the first symbol: each shard's rows come sorted, so this only merges them
+    end = np.repeat((begins + sizes).astype(np.int32), sizes + 1)
+    # the interleave by the first bytes: each shard's rows come sorted, so this only merges them
     first = min(PACKED, length)
-    key = (first_symbols(symbols) >> 9 * (PACKED - first))[slot]
+    key = first_symbols(symbols)
+    key >>= 9 * (PACKED - first)
+    key = key[slot]
     at_pos = np.argsort(key, kind="stable").astype(np.int32)
-    key, short = key[at_pos], (end - np.arange(n))[slot[at_pos]] < first
+    key, count = key[at_pos], np.arange(n, dtype=np.int32)
+    short = (end - count)[slot[at_pos]] < first
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | short[1:] | short[:-1])) if n else np.empty(0, bool)
-    count = np.arange(n, dtype=np.int32)
+    del key, end, short, symbols
     pos, interval = np.empty(n, np.int32), np.empty(n, np.int32)
     pos[at_pos] = count
     interval[at_pos] = np.maximum.accumulate(np.where(fresh, count, 0))
-    open_, depth = at_pos[~(fresh & np.append(fresh[1:], True))], first
+    open_, depth = singles_out(at_pos, fresh), first
     while depth < length and len(open_):
         step = min(SYMBOL, depth, length - depth)  # the first symbol itself is put together from PACKED bytes
         ordered = interval[open_].astype(np.int64) << 32 | pos[row_at[slot[open_] + step]]
@@ -210,7 +228,7 @@ def merged_repeats(before: np.ndarray, whole: np.ndarray, shard_rows: np.ndarray
         fresh = begun | np.concatenate(([True], parted[1:] != parted[:-1]))
         pos[open_], at_pos[spot] = spot, open_
         interval[open_] = np.maximum.accumulate(np.where(fresh, spot, 0))
-        open_, depth = open_[~(fresh & np.append(fresh[1:], True))], depth + step
+        open_, depth = singles_out(open_, fresh), depth + step
     found = np.sort(slot[open_])
     owner = np.searchsorted(begins, found, side="right") - 1
     return owner, found - begins[owner]
