@@ -2,7 +2,9 @@
 
 Archives: one gzip member for each record (a record whose last byte of length isn't zero is followed by an empty member,
 so that every record ends in a zero byte, which the text writer of Spark sets; so any Hadoop file system can be written
-to). Of records with equal payloads of at least ``REVISIT_BYTES`` the one with the smallest page_id is a response and the
+to). A file holds at most ``ARCHIVE_RECORDS`` records, and is read back as a stream, one record in memory at a time. Record ids
+hold the page_id and the row's own number, so they differ where page_ids repeat; a revisit names the id of its response.
+Rows are numbered by their place in the source, which has to read alike twice, as files do. Of records with equal payloads of at least ``REVISIT_BYTES`` the one with the smallest page_id is a response and the
 others revisit it.
 
 Index: the captures sorted by (reversed-host URL key, page_id), in compressed blocks, and a sparse directory with the
@@ -21,6 +23,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -35,6 +38,9 @@ BLOCK_CAPTURES = 4096
 DIRECTORY_ENTRIES = 200_000
 KEY_CHARS = 512
 LEVEL = 1
+ARCHIVE_RECORDS = 50_000
+READ = 1 << 20
+FEED = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 CAPTURE = "key string, id long, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -56,12 +62,21 @@ def url_key(url: str) -> str:
     return key if len(key) <= KEY_CHARS else key[: KEY_CHARS - 64] + hashlib.sha256(key.encode()).hexdigest()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, number: int) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{number}>"
+
+
+def page_of(name: str) -> int | None:
+    page_id = name.split(":")[2]
+    return None if page_id == "none" else int(page_id)
+
+
+def record(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Target-URI: {clean_url(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Target-URI: {clean_url(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"]
         payload = b""
     head.append(f"Content-Length: {len(http) + len(payload)}")
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + http + payload + b"\r\n\r\n"
@@ -87,10 +102,9 @@ def parsed(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     block = rest[: int(warc["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size, digest = int(fields(http)["Content-Length"]), warc["WARC-Payload-Digest"].removeprefix("sha256:")
-    number = lambda s: None if s == "none" else int(s)
-    page_id = number(warc["WARC-Record-ID"][len("<urn:page:") : -1])
+    page_id = page_of(warc["WARC-Record-ID"])
     if warc["WARC-Type"] == "revisit":
-        return page_id, size, digest, "revisit", number(warc["WARC-Refers-To"][len("<urn:page:") : -1])
+        return page_id, size, digest, "revisit", page_of(warc["WARC-Refers-To"])
     if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"the payload of page {page_id} doesn't match its record")
     return page_id, size, digest, "response", None
@@ -105,39 +119,48 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Archives at path, a file for each partition, of all rows of pages (page_id, url, html)."""
-    pages = pick(pages, page_id="page_id", url="url", html="html").withColumn("html", F.coalesce("html", F.lit("")))
+def write_archives(pages: DataFrame, path: str, records: int = ARCHIVE_RECORDS) -> None:
+    """Archives at path of all rows of pages (page_id, url, html), of at most so many records each."""
+    pages = pick(pages, page_id="page_id", url="url", html="html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("number", F.monotonically_increasing_id())
     pages = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     large = pages.where((F.octet_length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
-    joined = pages.join(first, F.col("digest") == F.col("of"), "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first.*").toDF("of", "first", "first_number")
+    refers = F.col("page_id") > F.col("first")
+    joined = pages.join(first, F.col("digest") == F.col("of"), "left").select("page_id", "number", "url", "html", "digest", F.when(refers, F.col("first")).alias("first"), F.when(refers, F.col("first_number")).alias("first_number"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
-            made = [member(record(i, url, text.encode(), digest, refers))[:-1] for i, url, text, digest, refers in rows]
+            made = [member(record(record_id(i, number), url, text.encode(), digest, None if first_number is None else record_id(first, first_number)))[:-1] for i, number, url, text, digest, first, first_number in rows]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
-    joined.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    joined.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each record of an archive."""
-    at, view, held = 0, memoryview(data), None
-    while at < len(data):
-        start, d, out = at, zlib.decompressobj(31), []
-        while not d.eof and at < len(data):
-            fed = view[at : at + 16384]
+def members(file: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each record of an archive, which is read as a stream."""
+    chunk, at, base, held = memoryview(b""), 0, 0, None
+    while True:
+        start, d, out = base + at, zlib.decompressobj(31), []
+        while not d.eof:
+            if at == len(chunk):
+                chunk, at, base = memoryview(file.read(READ)), 0, base + len(chunk)
+                if not len(chunk):
+                    break
+            fed = chunk[at : at + FEED]
             out.append(d.decompress(fed))
             at += len(fed) - len(d.unused_data)
-        content = b"".join(out)
+        content, length = b"".join(out), base + at - start
+        if content and not d.eof:
+            raise ValueError(f"the archive ends within the record at {start}")
         if content:
             if held:
                 yield held
-            held = (start, at - start, content)
-        elif held:
-            held = (held[0], at - held[0], held[2])
+            held = (start, length, content)
+        elif length and held:
+            held = (held[0], held[1] + length, held[2])
+        if not d.eof:
+            break
     if held:
         yield held
 
@@ -146,16 +169,19 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     """key, id, file, offset, length of each record in the archives at path, from reading them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = []
-                for offset, length, data in members(content.as_py()):
-                    warc = fields(data[: data.index(b"\r\n\r\n")])
-                    page_id = warc["WARC-Record-ID"][len("<urn:page:") : -1]
-                    rows.append((url_key(warc.get("WARC-Target-URI", "")), NO_ID if page_id == "none" else int(page_id), name, offset, length))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "id", "file", "offset", "length"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").where("length > 0").mapInArrow(scan, CAPTURE)
+            for name in b.column(0).to_pylist():
+                with open_archive(name) as file:
+                    rows = []
+                    for offset, length, data in members(file):
+                        warc = fields(data[: data.index(b"\r\n\r\n")])
+                        page_id = page_of(warc["WARC-Record-ID"])
+                        rows.append((url_key(warc.get("WARC-Target-URI", "")), NO_ID if page_id is None else page_id, name, offset, length))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "id", "file", "offset", "length"])
+
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("path").mapInArrow(scan, CAPTURE)
 
 
 def build_index(archives: DataFrame, block_captures: int = BLOCK_CAPTURES) -> DataFrame:
