@@ -411,3 +411,41 @@ def test_html_of_odd_tables(spark):
     n = 20_000 * (len("Some words in a paragraph, of a long page.") + 2) - 2
     assert sorted(r.n_chars for r in made) == [0, n, n] and all(len(r.text) == r.n_chars for r in made)
     assert html_crf.extract(rows.limit(0), field).count() == 0
+
+
+def test_warc_of_odd_tables(spark):
+    """Repeated page_ids and rows, a very long page, other columns, small archives, and an empty table."""
+    import io
+
+    big, long = "<p>" + "y" * 300, "<p>" + "".join(random.Random(2).choice("abcdefgh ü") for _ in range(3_000_000))
+    rows = [(3, "http://a/", big, "x"), (3, "http://a/", big, "x"), (3, "http://b/", "other" * 40, "x"), (5, "http://c/", big, "x"), (8, "http://d/", long, "x"), (9, "http://e/", long, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, Page_Id string").repartition(2, "url").sortWithinPartitions("url")
+    path = scratch_path(spark, "warc-odd")
+    warc.write_archives(pages, path, records=2)
+    assert spark.read.format("binaryFile").load(path).where("length > 0").count() >= 3
+    index = warc.build_index(warc.captures(spark, path), block_captures=2)
+    made = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.look_up(spark, index, pages).collect())
+    n = len(long.encode())
+    assert made == sorted([(3, 303, "response", None)] * 2 + [(3, 200, "response", None), (5, 303, "revisit", 3), (8, n, "response", None), (9, n, "revisit", 8)], key=lambda r: r[:3])
+    data = b"".join(warc.member(warc.record(warc.record_id(i, i), None, b"z" * i, "d", None)) for i in range(300))
+    found = list(warc.members(io.BytesIO(data)))
+    assert len(found) == 300 and [o for o, *_ in found] == [0, *np.cumsum([n for _, n, _ in found])[:-1].tolist()]
+    assert all(warc.inflate(data[o : o + n]) == c for o, n, c in found)
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.members(io.BytesIO(data[:-30])))
+    empty = scratch_path(spark, "warc-empty")
+    warc.write_archives(pages.limit(0), empty)
+    assert warc.look_up(spark, warc.build_index(warc.captures(spark, empty)), pages.limit(0)).count() == 0
+
+
+def test_empty_tables_and_clashing_names(spark):
+    empty = docs(spark, [])
+    assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
+    assert packing.pack(empty).count() == 0 and decontaminate.contamination(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, rep int, copies int")
+    assert embeddings.link(vectors).count() == 0
+    turns = spark.createDataFrame([(1, 0, "ann", "hi", 7, 8), (1, 0, "ann", "hi", 7, 8), (1, 1, "bob", "", 7, 8)], "conv_id long, turn long, role string, text string, at int, speaker int")
+    made = {r.speaker: r for r in chat.rotate(turns).collect()}
+    assert made["ann"].n_turns == 3 and [made["ann"].rendered[s.begin : s.end] for s in made["ann"].spans] == ["hi", "hi"]
+    assert chat.rotate(turns.limit(0)).count() == 0
+    assert toxicity.grade(empty, toxicity.Ordinal({}, [])).count() == 0
