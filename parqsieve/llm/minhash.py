@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parqsieve.llm.common import join_hot, pick, read_table, shuffle_partitions, slices, written
@@ -45,7 +45,7 @@ BLOCK_SHINGLES = 2_000_000
 PIVOTS = 16
 KEYS_A_PLACE = 2_000_000
 PERCENT = 75
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 _seeds = np.random.default_rng(20240601)
 STEPS = _seeds.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 FUNCTIONS = _seeds.integers(1, 1 << 63, (2 * SIDE * DEPTH, 1), dtype=np.uint64) | np.uint64(1)
@@ -235,12 +235,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT)
     classes = written(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("u").alias("u"), F.first("v").alias("v")), "classes")
     found = components(written(candidate_edges(classes, classes.count()), "candidates"), "families")
     members = written(found.join(classes.select(F.col("rep").alias("node"), "n_shingles", "h1", "u", "v"), "node").select("component", F.col("node").alias("doc_id"), "n_shingles", "h1", "u", "v"), "families")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).select("component", "blocks", "i", "doc_id", "h1", "u", "v")
-    order = [F.xxhash64("doc_id", F.lit(7)), "doc_id"]
-    large = dealt.where("blocks > 1")
-    of_blocks = large.select("component", "i", "doc_id").withColumn("of", F.row_number().over(Window.partitionBy("component", "i").orderBy(*order))).where(F.col("of") <= PIVOTS)
-    pivots = of_blocks.withColumn("of", F.row_number().over(Window.partitionBy("component").orderBy(*order))).where(F.col("of") <= PIVOTS).select("doc_id").distinct().withColumn("pivot", F.lit(True))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = join_hot(members, sizes, ["component"], "n", members.count()).withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).select("component", "blocks", "i", "doc_id", "h1", "u", "v")
+    pivots = dealt.where("blocks > 1").groupBy("component", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(PIVOTS))).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().withColumn("pivot", F.lit(True))
     dealt = written(dealt.join(pivots, "doc_id", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "family-blocks")
     # by shuffle at every size: members grow with the corpus, so the plan mustn't turn on whether they happen to be few
     texts = written(docs.join(dealt.hint("shuffle_hash"), "doc_id"), "family-texts").withColumns({"j": F.lit(0), "asking": F.lit(True)})
