@@ -74,7 +74,7 @@ def leaf(predicate: Predicate, s: Stats) -> Column:
             return leaf(low, s) & leaf(high, s)
         case In(_, values):
             if values:
-                return functools.reduce(Column.__or__, [compare(Op.EQ, v, s) for v in values])
+                return one_of(values, s)
             return F.when(s.low.isNotNull() & s.high.isNotNull() & usable(s), F.lit(False))
         case Prefix(_, prefix):
             if not prefix:
@@ -117,14 +117,30 @@ def compare(op: Op, value: object, s: Stats) -> Column:
         Op.GT: (high <= v, low > v),
         Op.GE: (high < v, low >= v),
     }[op]
-    if s.missing_nulls_are_none:
-        none = F.coalesce(s.nulls, F.lit(0)) == 0
-    else:
-        none = F.coalesce(s.nulls == 0, F.lit(False))
-    known = low.isNotNull() & high.isNotNull() & usable(s)
-    if isinstance(s.kind, T.FloatType | T.DoubleType):
-        known &= ~F.isnan(low) & ~F.isnan(high)
-    return F.when(~known, unknown()).when(never, F.lit(False)).when(always & none, F.lit(True))
+    return F.when(~known(s), unknown()).when(never, F.lit(False)).when(always & no_nulls(s), F.lit(True))
+
+
+def known(s: Stats) -> Column:
+    both = s.low.isNotNull() & s.high.isNotNull() & usable(s)
+    return both & ~F.isnan(s.low) & ~F.isnan(s.high) if isinstance(s.kind, T.FloatType | T.DoubleType) else both
+
+
+def no_nulls(s: Stats) -> Column:
+    return F.coalesce(s.nulls, F.lit(0)) == 0 if s.missing_nulls_are_none else F.coalesce(s.nulls == 0, F.lit(False))
+
+
+def one_of(values: tuple, s: Stats) -> Column:
+    """The same as = with each of the values, joined by OR, in one pass over an array of them."""
+    if isinstance(s.kind, T.CalendarIntervalType):
+        return functools.reduce(Column.__or__, [compare(Op.EQ, v, s) for v in values])
+    plain = [v for v in values if v is not None and v == v]
+    if not plain:
+        return unknown()
+    simple = all(isinstance(v, int | float | str) for v in plain) and len({type(v) for v in plain}) == 1
+    known_values = F.lit(plain).cast(T.ArrayType(s.kind)) if simple else F.array(*[literal(v, s.kind) for v in plain])
+    never = ~F.exists(known_values, lambda v: (s.low <= v) & (s.high >= v)) if len(plain) == len(values) else F.lit(False)
+    always = (s.low == s.high) & F.array_contains(known_values, s.low)
+    return F.when(~known(s), unknown()).when(never, F.lit(False)).when(always & no_nulls(s), F.lit(True))
 
 
 @dataclass(frozen=True)

@@ -46,19 +46,33 @@ def projection_of(columns: Iterable[str] | None) -> list[str] | None:
     return sorted({c for c in columns or () if c}) or None
 
 
+#: Of so few files Spark's own reader looks at all the footers in about the time that a job of ours takes to start.
+FEW_FILES = 64
+
+
 @dataclass(frozen=True)
 class PruneResult:
-    """groups: file, length, modified, rg, num_rows, ranges (null: the whole group) of what is kept; files: all that were listed."""
+    """What is kept of the files at path; all of it is computed when it is asked for."""
 
+    spark: SparkSession
     path: str | list[str]
-    groups: DataFrame
-    files: DataFrame
     schema: T.StructType
     compiled: Compiled
     options: PruneOptions
+    evidence: Evidence = field(repr=False)
     output: list[str] | None = None
     opener: footers.Opener = field(default=footers.open_file, repr=False)
 
+    @functools.cached_property
+    def files(self) -> DataFrame:
+        """file, length, modified of all files."""
+        return footers.list_files(self.spark, self.path)
+
+    @functools.cached_property
+    def groups(self) -> DataFrame:
+        """file, length, modified, rg, num_rows, ranges (null: the whole group) of what is kept."""
+        return decide(self.files, self.schema, self.predicates, self.options, self.evidence, self.opener)
+
     @property
     def predicates(self) -> list[Predicate]:
         return self.compiled.predicates
@@ -128,8 +142,8 @@ class PruneResult:
     def scan(self, exact: Column | None = None, reader: str = "files") -> DataFrame:
         """The matching rows of what is kept.
 
-        reader "files": Spark's own reader gets the kept files and the exact condition, which it also pushes down to row groups and pages.
-        The driver holds the list of kept files, as it holds Spark's list of all. "ranges": tasks in Python read just the kept stretches of
+        reader "files": Spark's own reader gets the kept files and the exact condition, which it also pushes down to row groups and pages
+        (of up to FEW_FILES files it gets all, since it prunes these as fast). The driver holds the list of kept files, as it holds Spark's list of all. "ranges": tasks in Python read just the kept stretches of
         rows; for evidence that Spark's reader doesn't have.
         """
         if reader == "ranges":
@@ -142,15 +156,13 @@ class PruneResult:
         return found.select(*(self.schema.names if self.output is None else [f"`{c}`" if c in self.schema.names else c for c in self.output]))
 
     def kept_files(self) -> DataFrame:
-        """All rows of the files with a kept row group."""
-        spark = self.groups.sparkSession
-        rows = spark.read.schema(self.schema).parquet(*([self.path] if isinstance(self.path, str) else self.path))
-        if not self.predicates:
-            return rows
-        kept = [r.file for r in self.groups.select("file").distinct().collect()]
-        if len(kept) == len(rows.inputFiles()):
+        """All rows of the files with a kept row group; of a few files, of all. Pages aren't looked at, as Spark's reader does that itself."""
+        rows = self.spark.read.schema(self.schema).parquet(*([self.path] if isinstance(self.path, str) else self.path))
+        if not self.predicates or (n := len(rows.inputFiles())) <= FEW_FILES:
             return rows
-        return rows.where(F.col("_metadata.file_path").isin(kept) if kept else F.lit(False))
+        groups = decide(self.files, self.schema, self.predicates, dataclasses.replace(self.options, page_index=False), self.evidence, self.opener)
+        kept = [r.file for r in groups.select("file").distinct().collect()]
+        return rows if len(kept) == n else rows.where(F.col("_metadata.file_path").isin(kept) if kept else F.lit(False))
 
 
 def decide(files: DataFrame, schema: T.StructType, predicates: list[Predicate], options: PruneOptions, evidence: Evidence, opener: footers.Opener) -> DataFrame:
@@ -258,9 +270,7 @@ class Pruner:
         return self._prune(path, self.compile(predicate), output)
 
     def _prune(self, path: str | list[str], compiled: Compiled, output: Iterable[str] | None) -> PruneResult:
-        files = footers.list_files(self.spark, path)
-        groups = decide(files, self.schema, compiled.predicates, self.options, self.evidence, self.opener)
-        return PruneResult(path, groups, files, self.schema, compiled, self.options, projection_of(output), self.opener)
+        return PruneResult(self.spark, path, self.schema, compiled, self.options, self.evidence, projection_of(output), self.opener)
 
     def try_compile(self, predicate: Predicate | str) -> CompiledPruner:
         """Raises the first error if any part can't be compiled."""

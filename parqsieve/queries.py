@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parqsieve.operators import ir, selection
+from parqsieve.operators.hints import with_hints
 from parqsieve.operators.ir import Hint, Op, Predicate
 from parqsieve.operators.rows import row_filter
 from parqsieve.plans.compiler import Compiler
-from parqsieve.plans.pruner import PruneRequest
+from parqsieve.plans.pruner import PruneOptions, PruneRequest, PruneResult, Pruner
 from parqsieve.plans.zonemap import ZoneIndex, decide, page_rows, pruned_scan, zone_of
+from parqsieve.sources.evidence import CachedEvidence, Evidence, ScannedEvidence
 from parqsieve.sources.footers import list_files, row_groups
 from parqsieve.sources.scratch import scratch_path
 
@@ -271,7 +273,7 @@ SELECT min(k) AS start, count(*) AS n FROM (SELECT k, k - row_number() OVER (ORD
 
 #: What the files for kept_* hold: rows sorted by key within three files (by key % 3), GROUP rows in a row group, PAGE_ROWS in a page.
 GROUP, PAGE_ROWS = 400, 100
-COPY = "o_orderkey AS k, o_orderkey * 7919 % 1000003 AS h, CASE WHEN o_orderkey % 4000 < 1300 THEN NULL ELSE o_totalprice END AS p, substr('abcdefghijklmnopqrst', CAST(floor(o_orderkey / 3000) % 20 + 1 AS INT), 1) || o_orderpriority AS s, o_orderkey % 3 AS part"
+COPY = "o_orderkey AS k, o_orderkey * 7919 % 1000003 AS h, CASE WHEN o_orderkey % 4000 < 1300 THEN NULL ELSE o_totalprice END AS p, substr('abcdefghijklmnopqrst', CAST(floor(o_orderkey / 3000) % 20 + 1 AS INT), 1) || o_orderpriority AS s, o_orderdate AS t, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey AS DECIMAL(12,2)) AS d, CAST(o_orderkey AS INT) AS small, o_orderkey % 3 AS part"
 BLOOM = {f"parquet.bloom.filter.{name}#h": value for name, value in (("enabled", "true"), ("expected.ndv", "4000"), ("fpp", "0.00001"))}
 
 
@@ -284,8 +286,13 @@ def orders_copy(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def _kept(spark: SparkSession, sf_dir: str, predicate: Predicate | str, **options: bool) -> DataFrame:
-    made = PruneRequest(spark, orders_copy(spark, sf_dir)).where(predicate).option(**options).prune()
+def _kept(spark: SparkSession, sf_dir: str, predicate: Predicate | str | None, evidence: Evidence | None = None, **options: bool) -> DataFrame:
+    request = PruneRequest(spark, orders_copy(spark, sf_dir), evidence=evidence).option(**options)
+    made = (request if predicate is None else request.where(predicate)).prune()
+    return shown(made)
+
+
+def shown(made: PruneResult) -> DataFrame:
     selected = F.coalesce(F.aggregate("ranges", F.lit(0).cast("long"), lambda t, r: t + r["n"]), "num_rows")
     part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")
     return made.groups.select(part.alias("part"), F.col("rg").cast("long").alias("rg"), "num_rows", selected.alias("selected"))
@@ -304,10 +311,10 @@ def _split(columns: str) -> list[str]:
     return [x.strip() for x in out]
 
 
-def _kept_query(name: str, predicate: Predicate | str, group: str, page: str = "TRUE", **options: bool) -> None:
+def _kept_query(name: str, predicate: Predicate | str | None, group: str, page: str = "TRUE", **options: bool | Evidence) -> None:
     """group and page: the conditions in SQL, on low_c, high_c, nulls_c and n, for a row group and a page to be kept."""
     QUERIES[f"kept_{name}"] = lambda spark, sf_dir: _kept(spark, sf_dir, predicate, **options)
-    stats = "".join(f", min({c}) AS low_{c}, max({c}) AS high_{c}, count(*) - count({c}) AS nulls_{c}, list({c}) AS all_{c}" for c in "khps")
+    stats = "".join(f", min({c}) AS low_{c}, max({c}) AS high_{c}, count(*) - count({c}) AS nulls_{c}, list({c}) AS all_{c}" for c in ("k", "h", "p", "s", "t", "day", "d", "small"))
     ORACLE_SQL[f"kept_{name}"] = f"""WITH c AS (SELECT {COPY} FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k) - 1 AS i FROM c),
 g AS (SELECT part, CAST(floor(i / {GROUP}) AS BIGINT) AS rg, count(*) AS n{stats} FROM r GROUP BY 1, 2),
@@ -316,7 +323,7 @@ q AS (SELECT part, rg, sum(n) AS selected FROM w WHERE {page} GROUP BY 1, 2)
 SELECT CAST(g.part AS BIGINT) AS part, g.rg, g.n AS num_rows, CAST(selected AS BIGINT) AS selected FROM g JOIN q USING (part, rg) WHERE {group}"""
 
 
-def _both(name: str, predicate: Predicate | str, condition: str, **options: bool) -> None:
+def _both(name: str, predicate: Predicate | str, condition: str, **options: bool | Evidence) -> None:
     _kept_query(name, predicate, condition, condition, **options)
 
 
@@ -339,6 +346,61 @@ _kept_query("bloom_in", ir.in_list("h", [7919 * 33 % 1000003, 7919 * 12001 % 100
 _kept_query("bloom_off", ir.eq("h", 7919 * 1501 % 1000003), "low_h <= 7919 * 1501 % 1000003 AND high_h >= 7919 * 1501 % 1000003", "low_h <= 7919 * 1501 % 1000003 AND high_h >= 7919 * 1501 % 1000003", bloom=False)
 _kept_query("bloom_negated", ir.negate(ir.eq("h", 7919 * 1501 % 1000003)), "TRUE")  # a filter can't tell that all rows have a value
 _kept_query("nothing", ir.eq("k", -5), "FALSE")
+_kept_query("no_predicate", None, "TRUE")
+_both("timestamp", ir.ge("t", dt.datetime(2001, 7, 25)), "high_t >= TIMESTAMP '2001-07-25'")
+_both("date", "day > DATE '2001-07-25'", "high_day > DATE '2001-07-25'")
+_both("decimal", ir.lt("d", decimal.Decimal("500.50")), "low_d < 500.50")
+_both("int", "small BETWEEN 700 AND 900", "low_small <= 900 AND high_small >= 700")
+_both("double", ir.gt("p", 499900.0), "coalesce(high_p > 499900, TRUE)")  # without bounds a group is unknown
+_both("not", ir.negate(ir.gt("k", 1000)), "low_k <= 1000")
+_both("flipped_text", "1000 >= k AND NOT (k < 100)", "low_k <= 1000 AND high_k >= 100")
+_kept_query("or_all_or_nothing", ir.any_of(ir.lt("k", 500), ir.starts_with("x.y", "a")), "TRUE")  # one side has no statistics
+_kept_query("dictionary_eq", ir.eq("s", "c3-MEDIUM"), "list_contains(all_s, 'c3-MEDIUM')", dictionary=True, evidence=ScannedEvidence())
+_kept_query("dictionary_in", ir.in_list("s", ["c3-MEDIUM", "d1-URGENT", "zz"]), "list_has_any(all_s, ['c3-MEDIUM', 'd1-URGENT'])", dictionary=True, evidence=ScannedEvidence())
+_kept_query("dictionary_unknown", ir.eq("s", "c3-MEDIUM"), "TRUE", dictionary=True, evidence=Evidence())
+_kept_query("dictionary_negated", ir.negate(ir.eq("s", "c3-MEDIUM")), "TRUE", dictionary=True, evidence=ScannedEvidence())
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionaries from a cache that the first of two requests fills; one compiled predicate for both."""
+    path = orders_copy(spark, sf_dir)
+    cache = CachedEvidence(ScannedEvidence(), scratch_path(spark, "dictionaries"))
+    pruner = Pruner(spark, spark.read.parquet(path).schema, PruneOptions(dictionary=True), cache).try_compile("s = 'c3-MEDIUM'")
+    pruner.prune(path).groups.count()
+    cache.inner = Evidence()  # what isn't cached by now stays unknown
+    return shown(pruner.prune(path))
+
+
+QUERIES["kept_dictionary_cached"], ORACLE_SQL["kept_dictionary_cached"] = _cached, ORACLE_SQL["kept_dictionary_eq"]
+
+
+def _values(name: str, columns: str, rows: list[tuple], run: Callable[[SparkSession, str], DataFrame]) -> None:
+    """A query whose rows are stated here."""
+    QUERIES[name] = run
+    ORACLE_SQL[name] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(sql_value, r)) + ")" for r in rows) + f") AS v({columns})"
+
+
+SHOWN = (
+    (ir.all_of(ir.cmp("a", "<=", 5), ir.negate(ir.in_list("b", ["x"])), ir.between("c", 1, 2), ir.any_of()), "(a <= 5 AND NOT (b IN ('x')) AND c BETWEEN 1 AND 2 AND FALSE)", "a,b,c"),
+    (ir.any_of(ir.starts_with("s", "ab"), ir.is_null("t"), ir.is_not_null("u")), "(s LIKE 'ab%' OR t IS NULL OR u IS NOT NULL)", "s,t,u"),
+    (ir.cmp("a", Op.LT.flip(), 7), "a > 7", "a"),
+    (ir.all_of(), "TRUE", ""),
+    (with_hints(ir.eq("a", 1), {"a"}, ()), "(a = 1 AND <bloom filter>)", "a"),
+    (with_hints(ir.negate(ir.eq("a", "x")), {"a"}, {"a"}), "NOT (a = 'x')", "a"),
+    (with_hints(ir.in_list("a", ["x", None]), {"a"}, {"a"}), "a IN ('x', None)", "a"),
+)
+_values("ir_text", "shown, columns", [r[1:] for r in SHOWN], lambda spark, sf_dir: spark.createDataFrame([(str(p), ",".join(ir.from_json(p.to_json()).columns())) for p, *_ in SHOWN], "shown string, columns string"))
+
+REQUIRED = (("o_orderkey < 5 AND o_totalprice > 1", ["o_custkey"], "o_custkey,o_orderkey,o_totalprice"), ("o_orderkey < 5", ["o_orderkey", "", "o_orderkey"], "o_orderkey"), ("o_orderkey < 5", [], ""), ("length(o_orderstatus) = 1", ["o_custkey"], "o_custkey,o_orderstatus"))
+
+
+def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to be read for an output and a condition; nothing named means all."""
+    made = [(text, ",".join(output), PruneRequest(spark, f"{sf_dir}/orders.parquet").where(text).project(*output).prune().required_columns) for text, output, _ in REQUIRED]
+    return spark.createDataFrame([(t, o, ",".join(c)) for t, o, c in made], "condition string, output string, required string")
+
+
+_values("projection_of_conditions", "condition, output, required", [(t, ",".join(o), r) for t, o, r in REQUIRED], _required)
 
 
 def _kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from parqsieve.functions.prefix import successor
 from parqsieve.operators import ir, selection
 from parqsieve.operators.rows import row_filter
 from parqsieve.plans.compiler import Compiler
-from parqsieve.plans.zonemap import decide, page_rows, pruned_scan
+from parqsieve.plans.zonemap import ZoneIndex, decide, joined, page_rows, pruned_scan
+from parqsieve.sources.scratch import scratch, scratch_path, shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -29,8 +30,13 @@ def some_predicate(rng, depth=2):
     return rng.choice([ir.cmp("a", rng.choice(list(ir.Op)), value), ir.between("a", value, value + 2, rng.random() < 0.5), ir.in_list("a", [value, 3][: rng.randint(0, 2)]), ir.is_null("a"), ir.is_not_null("s"), ir.starts_with("s", rng.choice(["a", "ab", "z"])), ir.lt("k", 10 * value), ir.TRUE, ir.FALSE])
 
 
+@pytest.fixture(scope="module")
+def index(spark, table):
+    return ZoneIndex(table, "k", 20, ["k", "a", "s"], scratch_path(spark, "zones"))
+
+
 @pytest.mark.parametrize("seed", range(12))
-def test_no_row_is_lost(table, seed):
+def test_no_row_is_lost(table, index, seed):
     p = some_predicate(random.Random(seed), 3)
     hits = row_filter(p, table.schema)
     by_zone = {r.zone: r for r in table.groupBy(F.floor(F.col("k") / 20).alias("zone")).agg(F.count_if(hits).alias("yes"), F.count_if(~hits).alias("no")).collect()}
@@ -41,7 +47,10 @@ def test_no_row_is_lost(table, seed):
     if p.columns():
         for r in table.where(hits).collect():
             assert (r.k // 20, r.k % 20 // 5 * 5) in chosen
-    assert sorted(pruned_scan(table, "k", 20, p, hits).collect(), key=str) == sorted(table.where(hits).collect(), key=str)
+    for most in (64, 2, 1):
+        covered = [z for a, b in index.ranges(p, most) for z in range(a, b + 1)]
+        assert len(index.ranges(p, most)) <= most and {r.zone for r in decide(table, "k", 20, p).where("keep").collect()} <= set(covered)
+    assert sorted(pruned_scan(table, index, p, hits).collect(), key=str) == sorted(table.where(hits).collect(), key=str)
 
 
 def test_ir_round_trip_and_text():
@@ -101,3 +110,55 @@ def test_list_leaves_and_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("out_rows").count() == 2
+
+
+def test_ranges_of_zones_join_at_the_nearest():
+    assert joined([(5, 5), (1, 1), (2, 3), (9, 9), (20, 21)], 9) == [(1, 3), (5, 5), (9, 9), (20, 21)]
+    assert joined([(1, 3), (5, 5), (9, 9), (20, 21)], 3) == [(1, 5), (9, 9), (20, 21)]
+    assert joined([(1, 3), (5, 5), (9, 9), (20, 21)], 1) == [(1, 21)] and joined([], 3) == []
+
+
+def test_zone_scan_pushes_ranges_down_and_keeps_null_keys(spark, tmp_path):
+    spark.range(1000).selectExpr("IF(id % 50 = 0, NULL, id) AS k", "id % 7 AS a").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    zones = ZoneIndex(df, "k", 100, ["k", "a"], scratch_path(spark, "zones"))
+    p = ir.any_of(ir.between("k", 200, 250), ir.is_null("k"))
+    found = pruned_scan(df, zones, p, row_filter(p, df.schema))
+    assert found.count() == 49 + 20 and zones.ranges(ir.between("k", 200, 250)) == [(2, 2)]
+    assert "PushedFilters: [Or(" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bitmaps_of_runs_are_those_of_ids(spark):
+    runs = spark.createDataFrame([("f", 0, 5, False), ("f", 5, 40_000, True), ("f", 40_005, 70_000, False), ("g", 32_767, 2, False), ("g", 32_769, 100_000, True)], "file string, start long, n long, skip boolean")
+    by_ids = selection.bitmaps(selection.row_ids(runs)).collect()
+    assert sorted((r.file, r.bucket, bytes(r.bits)) for r in selection.bitmaps_of_runs(runs).collect()) == sorted((r.file, r.bucket, bytes(r.bits)) for r in by_ids)
+
+
+def test_scratch_is_removed_and_shared(spark):
+    with scratch(spark):
+        path = scratch_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        from types import SimpleNamespace
+
+        elsewhere = SimpleNamespace(conf=spark.conf, sparkContext=SimpleNamespace(getConf=spark.sparkContext.getConf, master="spark://host:7077"))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(elsewhere)
+
+
+def test_intervals_are_decided_at_single_points(spark):
+    from pyspark.sql import types as T
+
+    from parqsieve.operators.tristate import Stats, tristate
+
+    part = "struct<months:long,days:long,nanos:long>"
+    groups = spark.createDataFrame([((1, 0, 0), (1, 0, 0), 0), ((1, 0, 0), (1, 0, 0), 2), ((1, 0, 0), (2, 0, 0), 0), (None, None, 0)], f"low {part}, high {part}, nulls long")
+    stats = lambda _: Stats(T.CalendarIntervalType(), F.col("low"), F.col("high"), F.col("nulls"), F.lit(9))
+    want = {"=": [True, None, None, None], "!=": [False, None, None, None], "<": [False, False, None, None], ">=": [True, None, None, None]}
+    for op, states in want.items():
+        assert [r[0] for r in groups.select(tristate(ir.cmp("i", op, (1, 0, 0)), stats)).collect()] == states
+    assert [r[0] for r in groups.select(tristate(ir.in_list("i", [(1, 0, 0), (3, 0, 0)]), stats)).collect()] == [True, None, None, None]
+    assert [r[0] for r in groups.select(tristate(ir.eq("i", (2, 0, 0)), stats)).collect()] == [False, False, None, None]
