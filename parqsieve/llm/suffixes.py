@@ -291,7 +291,7 @@ def requests(docs: DataFrame, length: int) -> DataFrame:
             rows = np.stack([mark[one].view(np.int64), whole[one].view(np.int64), key[one], ids[one], begin[one], n[one] << 2 | again[one] << 1 | (times > 1)], axis=1)
             place = ((mark[one] >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.empty(0, np.int64)
-            packed = [(int(place[x]), packing(rows[x:y])) for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=True)]
+            packed = [(int(place[x]), packing(rows[x:y])) for x, y in itertools.pairwise([*cuts.tolist(), len(place)])]
             if packed:
                 nulls = [pa.nulls(len(packed)).cast(t) for t in ASK_KINDS]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary()), *nulls], schema=schema)

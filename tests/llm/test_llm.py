@@ -148,6 +148,7 @@ def test_suffixes(spark):
     left = suffixes.remove_repeats(docs(spark, texts))
     assert left.count() == len(texts) and left.columns[2] == "DOC_ID"
     assert suffixes.digest(docs(spark, [])).count() == 0
+    assert sorted(r.n_removed for r in suffixes.digest(docs(spark, ["short", None, "short"])).collect()) == [0, 0, 0]
 
 
 def test_minhash(spark):

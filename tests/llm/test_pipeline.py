@@ -12,7 +12,7 @@ from parqsieve.llm.common import read_table
 
 from test_llm import sentence, windows
 
-KIND = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, TEXT string, key int"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, Toxicity string, spans string, _text int"
 VILE = ["scumbag", "scumlord", "vileness", "vilest"]
 
 
