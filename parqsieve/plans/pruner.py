@@ -62,6 +62,7 @@ class PruneResult:
     evidence: Evidence = field(repr=False)
     output: list[str] | None = None
     opener: footers.Opener = field(default=footers.open_file, repr=False)
+    cache: footers.FooterCache | None = field(default=None, repr=False)
 
     @functools.cached_property
     def files(self) -> DataFrame:
@@ -71,7 +72,7 @@ class PruneResult:
     @functools.cached_property
     def groups(self) -> DataFrame:
         """file, length, modified, rg, num_rows, ranges (null: the whole group) of what is kept."""
-        return decide(self.files, self.schema, self.predicates, self.options, self.evidence, self.opener)
+        return decide(self.files, self.schema, self.predicates, self.options, self.evidence, self.opener, self.cache)
 
     @property
     def predicates(self) -> list[Predicate]:
@@ -160,18 +161,18 @@ class PruneResult:
         rows = self.spark.read.schema(self.schema).parquet(*([self.path] if isinstance(self.path, str) else self.path))
         if not self.predicates or (n := len(rows.inputFiles())) <= FEW_FILES:
             return rows
-        groups = decide(self.files, self.schema, self.predicates, dataclasses.replace(self.options, page_index=False), self.evidence, self.opener)
-        kept = [r.file for r in groups.select("file").distinct().collect()]
+        groups = decide(self.files, self.schema, self.predicates, dataclasses.replace(self.options, page_index=False), self.evidence, self.opener, self.cache)
+        kept = [r["name"] for r in groups.select("file").distinct().join(footers.scan_names(self.spark, self.path), "file").select("name").collect()]
         return rows if len(kept) == n else rows.where(F.col("_metadata.file_path").isin(kept) if kept else F.lit(False))
 
 
-def decide(files: DataFrame, schema: T.StructType, predicates: list[Predicate], options: PruneOptions, evidence: Evidence, opener: footers.Opener) -> DataFrame:
+def decide(files: DataFrame, schema: T.StructType, predicates: list[Predicate], options: PruneOptions, evidence: Evidence, opener: footers.Opener, cache: footers.FooterCache | None = None) -> DataFrame:
     """file, length, modified, rg, num_rows, ranges of the row groups that are kept."""
     index = SchemaIndex(schema)
     whole = And(tuple(predicates))
     columns = [(c, index.paths[c]) for c in whole.columns() if c in index.paths]
     place = {c: i for i, (c, _) in enumerate(columns)}
-    groups = footers.row_groups(files, columns, options.page_index, opener)
+    groups = (cache.row_groups if cache else footers.row_groups)(files, columns, options.page_index, opener)
 
     def usable(i: int) -> Column:
         return F.coalesce(F.col(f"ordered_{i}") & (F.lit(True) if options.truncated else F.col(f"whole_{i}")), F.lit(False))
@@ -230,6 +231,7 @@ class PruneRequest:
     options: PruneOptions = PruneOptions()
     evidence: Evidence | None = None
     opener: footers.Opener = footers.open_file
+    cache: footers.FooterCache | None = None
 
     def where(self, predicate: Predicate | str) -> PruneRequest:
         return dataclasses.replace(self, predicate=predicate)
@@ -243,19 +245,22 @@ class PruneRequest:
     def with_evidence(self, evidence: Evidence) -> PruneRequest:
         return dataclasses.replace(self, evidence=evidence)
 
+    def with_footers(self, cache: footers.FooterCache) -> PruneRequest:
+        return dataclasses.replace(self, cache=cache)
+
     def prune(self) -> PruneResult:
         """Without a predicate everything is kept. Parts of a text that can't be compiled are errors in the result and keep what they would decide."""
         schema = self.schema or self.spark.read.parquet(*([self.path] if isinstance(self.path, str) else self.path)).schema
-        return Pruner(self.spark, schema, self.options, self.evidence, self.opener).prune(self.path, self.predicate, self.output)
+        return Pruner(self.spark, schema, self.options, self.evidence, self.opener, self.cache).prune(self.path, self.predicate, self.output)
 
 
 class Pruner:
     """A schema, for many predicates and files."""
 
-    def __init__(self, spark: SparkSession, schema: T.StructType, options: PruneOptions = PruneOptions(), evidence: Evidence | None = None, opener: footers.Opener = footers.open_file):
+    def __init__(self, spark: SparkSession, schema: T.StructType, options: PruneOptions = PruneOptions(), evidence: Evidence | None = None, opener: footers.Opener = footers.open_file, cache: footers.FooterCache | None = None):
         if not schema.fields:
             raise ValueError("the schema has no columns")
-        self.spark, self.schema, self.options, self.opener = spark, schema, options, opener
+        self.spark, self.schema, self.options, self.opener, self.cache = spark, schema, options, opener, cache
         self.evidence = evidence or FooterEvidence(opener)
         self.compiler = Compiler(spark, schema)
 
@@ -270,7 +275,7 @@ class Pruner:
         return self._prune(path, self.compile(predicate), output)
 
     def _prune(self, path: str | list[str], compiled: Compiled, output: Iterable[str] | None) -> PruneResult:
-        return PruneResult(self.spark, path, self.schema, compiled, self.options, self.evidence, projection_of(output), self.opener)
+        return PruneResult(self.spark, path, self.schema, compiled, self.options, self.evidence, projection_of(output), self.opener, self.cache)
 
     def try_compile(self, predicate: Predicate | str) -> CompiledPruner:
         """Raises the first error if any part can't be compiled."""

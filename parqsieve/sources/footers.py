@@ -13,6 +13,7 @@ import datetime as dt
 import decimal
 import re
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -51,6 +52,12 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.coalesce(max(spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // FILES_IN_TASK))
 
 
+def scan_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file and the name that scans know it by (_metadata.file_path), which writes some characters in another way."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.col("path").alias("file"), F.col("_metadata.file_path").alias("name"))
+
+
 @dataclass(frozen=True)
 class Leaf:
     path: str
@@ -275,3 +282,27 @@ def absent_values(groups: DataFrame, asked: dict[int, tuple[T.DataType, tuple]],
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.list_(pa.bool_())) for x in found]], names=[*b.schema.names, *names])
 
     return groups.mapInArrow(run, out)
+
+
+class FooterCache:
+    """Keeps what row_groups reads in tables below ``store`` (a folder that all machines see), by version of file, so that files are opened once for many predicates.
+
+    One table for each set of columns and choice of pages; a file whose length or time differs is read anew, and its old rows are
+    no longer found. The files in the store are its owner's to delete."""
+
+    def __init__(self, store: str):
+        self.store, self.parts = store.rstrip("/"), {}
+
+    def row_groups(self, files: DataFrame, columns: list[tuple[str, T.DataType]], pages: bool = True, opener: Opener = open_file) -> DataFrame:
+        spark, version = files.sparkSession, ["file", "length", "modified"]
+        key = (tuple((c, k.simpleString()) for c, k in columns), pages)
+        parts = self.parts.setdefault(key, [])
+        schema = row_groups(files, columns, pages, opener).schema
+        missing = files.join(spark.read.schema(schema).parquet(*parts).select(*version).distinct(), version, "left_anti") if parts else files
+        if not missing.isEmpty():
+            part = f"{self.store}/footers-{uuid.uuid4().hex}"
+            row_groups(missing, columns, pages, opener).write.parquet(part)
+            parts.append(part)
+        if not parts:
+            return row_groups(files, columns, pages, opener)
+        return spark.read.schema(schema).parquet(*parts).join(files, version, "left_semi").select(*schema.names)

@@ -9,13 +9,13 @@ import pyarrow.parquet as pq
 import pytest
 
 from parqsieve.errors import UnsupportedExpression
-from parqsieve.operators import ir
+from parqsieve.operators import ir, selection
 from parqsieve.operators.hints import with_hints
 from parqsieve.operators.ir import Hint
 from parqsieve.operators.rows import row_filter
 from parqsieve.plans.pruner import Pruner, PruneRequest, projection_of
 from parqsieve.sources.evidence import CachedEvidence, Evidence, ScannedEvidence
-from parqsieve.sources.footers import decoded, footer, leaves, open_file
+from parqsieve.sources.footers import FooterCache, decoded, footer, leaves, open_file
 
 N = 4000
 
@@ -157,3 +157,73 @@ def test_missing_columns_and_empty_files(spark, tmp_path):
     with open_file(str(tmp_path / "a.parquet")) as file, pytest.raises(ValueError):
         footer(file, file.size() - 1)
     assert decoded(b"\x00", leaves([{5: 1}, {1: 2, 4: b"k", 3: 1}])[0], schema["k"].dataType) is None
+
+
+def counted(log):
+    """An opener that leaves a line in a file for each file that it opens."""
+
+    def opener(path):
+        with open(log, "a") as out:
+            out.write(path + "\n")
+        return open_file(path)
+
+    return opener
+
+
+def test_footers_are_read_once(spark, folder, schema, tmp_path):
+    import shutil
+
+    own, log = tmp_path / "own", tmp_path / "log"
+    shutil.copytree(folder, own)
+    log.touch()
+    pruner = Pruner(spark, schema, opener=counted(str(log)), cache=FooterCache(str(tmp_path / "store")))
+    for p, kept in ((ir.lt("k", 1500), 2), (ir.ge("k", 7000), 1), (ir.between("k", 3500, 4500), 2)):
+        assert pruner.prune(str(own), p).groups.count() == kept
+    assert len(log.read_text().split()) == 2
+    pq.write_table(pq.read_table(own / "1.parquet").slice(0, 700), own / "1.parquet", row_group_size=100)
+    assert pruner.prune(str(own), ir.between("k", 3950, 4150)).groups.count() == 3
+    assert len(log.read_text().split()) == 3 and pruner.prune(str(own), ir.ge("k", 7000)).groups.count() == 0
+
+
+def test_many_files_are_pruned_before_spark_reads_them(spark, tmp_path, monkeypatch):
+    from parqsieve.plans import pruner as plans
+
+    monkeypatch.setattr(plans, "FEW_FILES", 3)
+    path = str(tmp_path / "a b%20c")
+    for n in range(6):
+        pq.write_table(pa.table({"k": pa.array(range(n * 10, n * 10 + 10), pa.int64())}), spark_path(path, f"p={n % 2}", f"{n}.parquet"))
+    rows = PruneRequest(spark, path).where("k BETWEEN 15 AND 22").prune().scan()
+    assert sorted((r.k, r.p) for r in rows.collect()) == [(k, k // 10 % 2) for k in range(15, 23)]
+    assert files_read(rows)["numOutputRows"] == 20  # two of six files
+    assert PruneRequest(spark, path).where("k < 0").prune().scan().count() == 0 and PruneRequest(spark, path).where("k >= 0").prune().scan().count() == 60
+
+
+def spark_path(*parts):
+    import os
+
+    os.makedirs(os.path.join(*parts[:-1]), exist_ok=True)
+    return os.path.join(*parts)
+
+
+def files_read(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves, out = plan.collectLeaves(), {}
+    for i in range(leaves.size()):
+        each = leaves.apply(i).metrics().iterator()
+        while each.hasNext():
+            pair = each.next()
+            out[pair._1()] = pair._2().value()
+    return out
+
+
+def test_parts_totals_and_notes(spark, folder, schema, monkeypatch):
+    made = Pruner(spark, schema).prune(folder, ir.between("k", 1500, 1510), ["d"])
+    groups, runs, bitmaps = made.parts()
+    assert groups.count() == 1 and runs.count() >= 2 and bitmaps.where("note is null").count() == 1
+    assert made.parts_with_projection()[3] == ["d", "k"]
+    total = made.totals()
+    assert (total["files"], total["groups"]) == (1, 1) and 11 <= total["rows"] < 500
+    monkeypatch.setattr(selection, "MOST_ROWS", 999)
+    (row,) = made.bitmaps().collect()
+    assert row.bits is None and "no bitmap" in row.note and made.too_long().count() == 1
