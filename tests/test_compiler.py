@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from parqsieve.errors import CastFailed, NegationUnsupported, PredicateError, UnsupportedExpression
 from parqsieve.operators import ir
 from parqsieve.operators.rows import row_filter
+from parqsieve.plans import pruner as plans
 from parqsieve.plans.compiler import Compiled, Compiler, fixed_offset
 from parqsieve.plans.pruner import PruneRequest
 
+@pytest.fixture(autouse=True)
+def always_pruned(monkeypatch):
+    """The few files here are pruned as many would be."""
+    monkeypatch.setattr(plans, "FEW_FILES", 0)
+
+
 SCHEMA = "k long, i int, f float, d double, m decimal(10,2), s string, is_between boolean, t timestamp, z timestamp_ntz, day date, v binary, n struct<q:int>, a array<int>"
 
 
