@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = keyed(docs)
     spark = docs.sparkSession
     asked = written(requests(docs, length), "requests")
-    compare = asked.where(f"code <> {WHOLE}").groupBy("key", "id").agg(F.collect_list(F.struct("begin", "n", "code", "marker")).alias("asked"))
+    compare = asked.where(f"code <> {WHOLE}").groupBy("key", "id").agg(F.collect_set(F.struct("begin", "n", "code", "marker")).alias("asked"))
 
     places = max(shuffle_partitions(spark), asked.where(f"code <> {WHOLE}").count() * 3 * length // (2 * MERGE_BYTES))
     sent_kind = "place int, before binary, starts binary, texts binary"
@@ -406,7 +406,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     compared = sent.groupBy("place").applyInArrow(merge, "key long, id long, begin long, end long")
     whole = asked.where(f"code = {WHOLE}").select("key", "id", "begin", (F.col("begin") + F.col("n") + F.lit(length - 1)).alias("end"))
-    return whole.unionByName(compared).groupBy("key", "id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return whole.unionByName(compared).groupBy("key", "id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
