@@ -3,7 +3,8 @@
 The words of a text are the runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z became lower case. A window is n
 consecutive words of an item; an item of fewer words, but not none, is one window. The item side is broadcast in blocks
 of about ``BLOCK_BYTES`` of text, one at a time, each scanned against all documents; more items make more blocks. A
-window of a document is looked up by a 64-bit rolling hash and verified word by word. Null texts have no words; items with a null id
+window of a document is looked up by a 64-bit rolling hash and verified word by word. So the work is documents times blocks, and a
+window that several items hold is compared with each of them. Long texts are read in pieces. Null texts have no words; items with a null id
 count for hits but aren't named. Each input row gives one row, also where rows repeat.
 """
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from parqsieve.llm.common import map_rows, pick, read_table, slices, written
 
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+WORD, BREAK = re.compile(rb"[0-9a-z\x80-\xff]+"), re.compile(rb"[^0-9a-z\x80-\xff]")
+PIECE = 1 << 20
 NGRAM = 10
 BLOCK_BYTES = 32 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -58,10 +60,16 @@ class Windows:
             total = total * _STEP + ids[k : len(ids) - size + 1 + k].astype(np.uint64)
         return total
 
-    def scan(self, words: list[bytes]) -> tuple[set, list[tuple[int, int]]]:
-        """Items that occur, and the runs [first, last] of hit words, merged."""
-        get = self.word_ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
+    def ids(self, raw: bytes) -> np.ndarray:
+        """The words of a text in lower case by number, 0 for those of no item; of a long text a piece at a time."""
+        get, out = self.word_ids.get, []
+        for piece in pieces(raw):
+            words = WORD.findall(piece)
+            out.append(np.fromiter((get(w, 0) for w in words), np.uint32, len(words)))
+        return np.concatenate(out) if len(out) != 1 else out[0]
+
+    def scan(self, ids: np.ndarray) -> tuple[set, list[tuple[int, int]]]:
+        """Items that occur, and the runs [first, last] of hit words, merged, of a text's words by number."""
         inside = np.concatenate(([0], np.cumsum(ids > 0)))
         items, runs = set(), []
         for size, (hashes, start, owner) in self.windows.items():
@@ -78,6 +86,27 @@ class Windows:
         return items, merged(runs)
 
 
+def pieces(raw: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """raw in pieces of about so many bytes, cut where no word is."""
+    at = 0
+    while len(raw) - at > size:
+        end = BREAK.search(raw, at + size)
+        if end is None:
+            break
+        yield raw[at : end.start()]
+        at = end.start()
+    yield raw[at:] if at else raw
+
+
+def spots(raw: bytes, wanted: set[int]) -> dict[int, tuple[int, int]]:
+    """Where the words of these numbers stand in a text in lower case."""
+    return {k: m.span() for k, m in enumerate(WORD.finditer(raw)) if k in wanted}
+
+
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode().lower()
+
+
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
@@ -107,7 +136,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = NGRAM, block_bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            words = [WORD.findall((t or "").encode().lower()) for t in part.column(1).to_pylist()]
+            words = [held.value.ids(lowered(t)) for t in part.column(1).to_pylist()]
             hits = [held.value.scan(w) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -134,7 +163,7 @@ def _joined(docs: DataFrame, made: Iterator[Windows]) -> DataFrame:
             for part in slices(batches):
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = WORD.findall((text or "").encode().lower())
+                    words = held.value.ids(lowered(text))
                     found, runs = held.value.scan(words)
                     key = hashlib.sha256(b"-" if text is None else b"+" + text.encode()).digest()
                     rows.append({"doc_id": doc_id, "key": key, "block": k, "n_words": len(words), "items": sorted(x for x in found if x is not None), "runs": [{"first": a, "last": b} for a, b in runs]})
@@ -169,12 +198,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = NGRAM, remove: str
             for part in slices(batches):
                 kept, texts = [], []
                 for text in part.column(place).to_pylist():
-                    raw = (text or "").encode()
-                    spots = [m.span() for m in WORD.finditer(raw.lower())]
-                    _, runs = held.value.scan([raw[a:b].lower() for a, b in spots])
+                    low = lowered(text)
+                    _, runs = held.value.scan(held.value.ids(low))
                     kept.append(not runs)
                     if runs and remove == "spans":
-                        cuts = [0, *(x for a, b in runs for x in (spots[a][0], spots[b][1])), len(raw)]
+                        raw, place_of = text.encode(), spots(low, {x for run in runs for x in run})
+                        cuts = [0, *(x for a, b in runs for x in (place_of[a][0], place_of[b][1])), len(raw)]
                         text = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)).decode()
                     texts.append(text)
                 if remove == "documents":

@@ -450,3 +450,14 @@ def test_empty_tables_and_clashing_names(spark):
     assert made["ann"].n_turns == 3 and [made["ann"].rendered[s.begin : s.end] for s in made["ann"].spans] == ["hi", "hi"]
     assert chat.rotate(turns.limit(0)).count() == 0
     assert toxicity.grade(empty, toxicity.Ordinal({}, [])).count() == 0
+
+
+def test_long_texts_in_pieces():
+    rng = random.Random(4)
+    text = sentence(rng, 400).encode().lower() + b"x" * 300 + b" \xff end"
+    for size in (1, 7, 50, 1000):
+        assert b"".join(decontaminate.pieces(text, size)) == text
+        assert [w for p in decontaminate.pieces(text, size) for w in decontaminate.WORD.findall(p)] == decontaminate.WORD.findall(text)
+    assert list(decontaminate.pieces(b"", 5)) == [b""] and list(decontaminate.pieces(b"a" * 20, 5)) == [b"a" * 20]
+    found = decontaminate.spots(text, {0, 3})
+    assert [text[a:b] for a, b in found.values()] == [decontaminate.WORD.findall(text)[k] for k in (0, 3)]
