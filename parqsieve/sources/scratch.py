@@ -1,4 +1,8 @@
-"""Tables written on the way: in the folder that a cluster names in spark.checkpoint.dir."""
+"""Tables written on the way: in the folder that a cluster names in spark.checkpoint.dir.
+
+They are removed as soon as nothing can read them any more: by operators that know it, by a caller's ``scratch`` block, else when the
+driver's Python ends.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,13 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _scopes: list[list[str]] = []  # open scopes of scratch()
+_left: dict[str, tuple] = {}  # what is still to be removed, with what it takes to do so
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +41,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for scope in _scopes:
         scope.append(path)
+    if not _left:
+        atexit.register(_remove_left)
+    _left[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     return path
 
 
+def _remove(path: str, jvm: Any, conf: Any) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _remove_left() -> None:
+    while _left:
+        path, how = _left.popitem()
+        with contextlib.suppress(Exception):  # the JVM may be gone by now
+            _remove(path, *how)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes what is written to the shared folder within the block, at its end; for callers that have written their result elsewhere by then.
@@ -62,6 +83,5 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _left.pop(path, None)
+    _remove(path, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
