@@ -40,7 +40,7 @@ from parqsieve.llm.minhash import mixed
 
 LENGTH = 200
 MARKER = 64
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 PLACE_BYTES = 12 << 20
 MERGE_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
