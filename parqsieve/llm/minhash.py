@@ -280,3 +280,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS gram FROM d, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT k, doc_id, count(*) AS n FROM s GROUP BY k, doc_id),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS common FROM s AS a JOIN s AS b USING (gram) WHERE a.k < b.k GROUP BY a.k, b.k),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN n AS x ON x.k = p.a JOIN n AS y ON y.k = p.b WHERE 100 * common >= 75 * (x.n + y.n - common) AND x.doc_id <> y.doc_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, component) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.component FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(component) AS component FROM r GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component AS component_id, d.doc_id IS NOT DISTINCT FROM component AS kept
+FROM d LEFT JOIN n USING (k) LEFT JOIN c ON c.node = d.doc_id
+"""

@@ -461,3 +461,17 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+w AS (SELECT k, i, sha256(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(range(0, n_bytes - 199)) AS t(i)),
+m AS (SELECT k, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) > 200 AS gap FROM m),
+u AS (SELECT k, i, sum(CASE WHEN coalesce(gap, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g),
+r AS (SELECT k, min(i) AS a, max(i) + 200 AS b FROM u GROUP BY k, run),
+q AS (SELECT k, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM r GROUP BY k)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(array_to_string(list_transform(range(0, coalesce(n_spans, 0) + 1), lambda j: substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE ends[j] END) + 1, 2 * (coalesce(starts[j + 1], n_bytes) - CASE WHEN j = 0 THEN 0 ELSE ends[j] END))), ''))) AS kept_sha256
+FROM d LEFT JOIN q USING (k)
+"""
