@@ -49,13 +49,16 @@ def tags(page: str) -> list[Token]:
     out: list[Token] = []
     low, at, last, quotes = page.lower(), 0, page.rfind(">"), True
     missing: set[str] = set()
-    while (m := TAG.search(page, at)) and m.start() < last:
+    while m := TAG.search(page, at):
         start, name = m.start(), (m[2] or "").lower()
         if m[0] == "<!--":
             end = page.find("-->", m.end())
             at = end + 3 if end >= 0 else len(page)
             out.append((start, at, False, "", ""))
             continue
+        if start >= last:
+            at = m.end()
+            continue
         end = -1
         if not name or not quotes:
             end = page.find(">", m.end()) + 1

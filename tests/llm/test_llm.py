@@ -396,6 +396,7 @@ def test_broken_markup_loses_no_text_and_no_time():
     assert texts("<p>a<!-- <p>x --> b<script>'<p>'</script><style>p{}</style></p>1 < 2 & 3 > 2") == ["a b", "1 < 2 & 3 > 2"]
     assert texts("<p title='>' class=\"x>y\">a</p><p title=\">b</p>") == ["a", "b"]
     assert texts("") == texts("<p></p>") == []
+    assert texts("<p>a</p><!-- b") == ["a"] and texts("<p>a</p> b <c <!-- d") == ["a", "b <c"]
     for part in ("<a ", '<a x="', "<div>x", "<svg>", "<a x='>", "<!--", '<a x=">" ', "<textarea>", "<p><i>", "</b>", "<b></i>"):
         began = time.time()
         html_crf.leaf_blocks(part * (300_000 // len(part)))
