@@ -190,8 +190,7 @@ def decide(files: DataFrame, schema: T.StructType, predicates: list[Predicate],
     if asked:
         kept = evidence.absent(kept, asked)
     for c in dictionaries:
-        found = evidence.dictionaries(kept.select(*KEYS), c, columns[place[c]][1])
-        kept = kept.join(found.withColumnRenamed("values", f"values_{place[c]}"), list(KEYS), "left")
+        kept = evidence.with_values(kept, f"values_{place[c]}", c, columns[place[c]][1])
     if asked or dictionaries:
 
         def absent(name: str, values: tuple) -> Column | None:

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from parqsieve.sources import footers
 
 KEYS = ("file", "length", "modified", "rg")
+SHARES = 16
+BATCH_VALUES = 100_000  # about as many values are handed on at a time
 
 
 class Evidence(ABC):
@@ -28,6 +30,11 @@ class Evidence(ABC):
         """file, length, modified, rg, values: all distinct values of a leaf, or null."""
         return groups.select(*KEYS, F.lit(None).cast(T.ArrayType(kind)).alias("values"))
 
+    def with_values(self, groups: DataFrame, name: str, column: str, kind: T.DataType) -> DataFrame:
+        """groups with what dictionaries() knows as ``name``."""
+        found = self.dictionaries(groups.select(*KEYS), column, kind)
+        return groups.join(found.withColumnRenamed("values", name), list(KEYS), "left")
+
 
 class FooterEvidence(Evidence):
     """Bloom filters as the files hold them; dictionaries unknown."""
@@ -52,8 +59,6 @@ class ScannedEvidence(FooterEvidence):
             return super().dictionaries(groups, column, kind)
 
         def values(file: pq.ParquetFile, rg: int) -> list | None:
-            if column not in file.schema_arrow.names:
-                return None
             seen: set = set()
             for batch in file.iter_batches(row_groups=[rg], columns=[column]):
                 seen.update(batch.column(0).unique().cast(held).to_pylist())
@@ -63,17 +68,39 @@ class ScannedEvidence(FooterEvidence):
             return list(seen) if len(seen) <= most else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = []
-                for path, rg in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    with opener(path) as file:
-                        found.append(values(pq.ParquetFile(file), rg))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(held))], names=[*KEYS, "values"])
-
-        keys = groups.select(*KEYS)
+            last, file, parsed = None, None, None
+            try:
+                for b in batches:
+                    found, at, size = [], 0, 0
+                    for r, (path, rg) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True), 1):
+                        if path != last:
+                            if file is not None:
+                                file.close()
+                            file, last = opener(path), path
+                            parsed = pq.ParquetFile(file)
+                            known = column in parsed.schema_arrow.names
+                        found.append(values(parsed, rg) if known else None)
+                        size += len(found[-1] or ())
+                        if r == b.num_rows or size > BATCH_VALUES:
+                            yield pa.RecordBatch.from_arrays([*b.slice(at, r - at).columns, pa.array(found, pa.list_(held))], names=[*KEYS, "values"])
+                            found, at, size = [], r, 0
+            finally:
+                if file is not None:
+                    file.close()
+
+        keys = by_file(groups.select(*KEYS))
         return keys.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("values", T.ArrayType(kind))]))
 
 
+def by_file(keys: DataFrame) -> DataFrame:
+    """Row groups of a file one after the other, so that a task parses a footer once, however many row groups it lists.
+
+    To a stated number of tasks: by the few bytes of the keys, adaptive planning would put them all into one. At most SHARES tasks open the same file."""
+    spark = keys.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.repartition(tasks, "file", F.col("rg") % SHARES).sortWithinPartitions("file", "rg")
+
+
 class CachedEvidence(Evidence):
     """Keeps the known dictionaries of another in a table below ``store`` (a folder that all machines see), by version of file; loads only what is missing."""
 
@@ -88,14 +115,22 @@ class CachedEvidence(Evidence):
         schema = T.StructType.fromDDL("file string, length long, modified timestamp, rg int").add("values", T.ArrayType(self.kinds[column]))
         return spark.read.schema(schema).parquet(*self.parts[column]) if self.parts.get(column) else spark.createDataFrame([], schema)
 
-    def dictionaries(self, groups: DataFrame, column: str, kind: T.DataType) -> DataFrame:
-        spark, keys = groups.sparkSession, groups.select(*KEYS)
+    def load(self, groups: DataFrame, column: str, kind: T.DataType) -> None:
+        """Keeps what the other knows of the row groups that aren't held yet."""
         self.kinds[column] = kind
-        missing = keys.join(self.held(spark, column), list(KEYS), "left_anti")
+        missing = groups.select(*KEYS).join(self.held(groups.sparkSession, column), list(KEYS), "left_anti")
         part = f"{self.store}/dictionaries-{uuid.uuid4().hex}"
         self.inner.dictionaries(missing, column, kind).where("values is not null").write.parquet(part)
         self.parts.setdefault(column, []).append(part)
-        return keys.join(self.held(spark, column), list(KEYS), "left")
+
+    def dictionaries(self, groups: DataFrame, column: str, kind: T.DataType) -> DataFrame:
+        self.load(groups, column, kind)
+        return groups.select(*KEYS).join(self.held(groups.sparkSession, column), list(KEYS), "left")
+
+    def with_values(self, groups: DataFrame, name: str, column: str, kind: T.DataType) -> DataFrame:
+        """Joins what is held at once, so that the footers behind groups aren't read a second time for its keys."""
+        self.load(groups, column, kind)
+        return groups.join(self.held(groups.sparkSession, column).withColumnRenamed("values", name), list(KEYS), "left")
 
     def entries(self, spark: SparkSession) -> int:
         return sum(self.held(spark, c).count() for c in self.parts)

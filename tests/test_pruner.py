@@ -7,6 +7,7 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import types as T
 
 from parqsieve.errors import UnsupportedExpression
 from parqsieve.operators import ir, selection
@@ -14,9 +15,9 @@ from parqsieve.operators.hints import with_hints
 from parqsieve.operators.ir import Hint
 from parqsieve.operators.rows import row_filter
 from parqsieve.plans import pruner as plans
-from parqsieve.plans.pruner import Pruner, PruneRequest, projection_of
+from parqsieve.plans.pruner import PruneOptions, Pruner, PruneRequest, projection_of
 from parqsieve.sources.evidence import CachedEvidence, Evidence, ScannedEvidence
-from parqsieve.sources.footers import FooterCache, decoded, footer, leaves, open_file
+from parqsieve.sources.footers import FooterCache, decoded, footer, leaves, list_files, open_file, row_groups
 
 N = 4000
 
@@ -192,6 +193,33 @@ def test_footers_are_read_once(spark, folder, schema, tmp_path):
     assert len(log.read_text().split()) == 3 and pruner.prune(str(own), ir.ge("k", 7000)).groups.count() == 0
 
 
+def test_dictionaries_open_a_file_once_in_a_task(spark, tmp_path):
+    """However many row groups it has; and the footers are read once for what is missing and once for the result."""
+    own, logs = tmp_path / "own", [tmp_path / "footers", tmp_path / "dictionaries"]
+    own.mkdir()
+    for f in range(2):
+        pq.write_table(pa.table({"s": [s for n in range(100) for s in ("", f"{f}-{n:03}", None, "~")]}), own / f"{f}.parquet", row_group_size=4)
+    opened = [counted(str(log)) for log in logs]
+    pruner = Pruner(spark, spark.read.parquet(str(own)).schema, PruneOptions(bloom=False, dictionary=True), CachedEvidence(ScannedEvidence(opened[1]), str(tmp_path / "store")), opened[0])
+    for p, kept in (("s = '1-042'", [(1, 42)]), ("s IN ('0-007', '1-099', 'x')", [(0, 7), (1, 99)])):
+        logs[0].write_text("")
+        assert sorted((int(r.file[-9]), r.rg) for r in pruner.prune(str(own), p).groups.select("file", "rg").collect()) == kept
+        assert len(logs[1].read_text().split()) <= 2 * spark.sparkContext.defaultParallelism and len(logs[0].read_text().split()) <= 4
+    assert pruner.evidence.entries(spark) == 200
+
+
+def test_dictionaries_of_many_values_come_in_parts(spark, tmp_path):
+    path, size = tmp_path / "many.parquet", 9000
+    pq.write_table(pa.table({"v": pa.array(range(64 * size), pa.int64())}), path, row_group_size=size)
+    groups = row_groups(list_files(spark, str(path)), [])
+    found = ScannedEvidence().dictionaries(groups, "v", T.LongType())
+    shown = found.selectExpr("rg", "size(values) AS n", "array_min(values) AS low", "array_max(values) AS high").collect()
+    assert sorted(map(tuple, shown)) == [(g, size, g * size, g * size + size - 1) for g in range(64)]
+    few = ScannedEvidence(most=size - 1).dictionaries(groups, "v", T.LongType())
+    assert few.where("values is null").count() == 64 and found.where("values is null").count() == 0
+    assert ScannedEvidence().dictionaries(groups, "nosuch", T.LongType()).where("values is null").count() == 64
+
+
 def test_many_files_are_pruned_before_spark_reads_them(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "a b%20c")
     for n in range(6):
